@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, simhash, token_files
+from . import packing, simhash, substring, token_files
 from .common import fresh_path
 
 
@@ -18,6 +19,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.without_repeats(_table(spark, sf_dir, "documents"))
+    joined = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return left.select("row.doc_id", "n_words", "n_removed", F.sha2(F.when(F.col("n_removed") > 0, F.col("text")).otherwise(joined), 256).alias("kept_sha256"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     token_files.write_tokens(_table(spark, sf_dir, "documents"), path)
@@ -29,7 +36,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op6_token_files, op10_simhash)}
+    return {f.__name__: f for f in (op3_packing, op4_substring, op6_token_files, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
