@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, substring, token_files
+from . import packing, secret_scan, simhash, substring, token_files
 from .common import fresh_path
 
 
@@ -15,6 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans, count = F.col("spans"), lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", *(count(k).alias(f"n_{k}") for k in secret_scan.BASE), F.sha2(secret_scan.joined(spans, secret_scan.BASE), 256).alias("base_sha256"), secret_scan.joined(spans).alias("spans"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -36,8 +42,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op4_substring, op6_token_files, op10_simhash)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_packing, op4_substring, op6_token_files, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_secret_scan": secret_scan.ORACLE_SQL}
