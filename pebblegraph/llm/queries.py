@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, secret_scan, simhash, substring, token_files
+from . import html_text, packing, quality, secret_scan, simhash, substring, token_files
 from .common import fresh_path
 
 
@@ -21,6 +21,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *(count(k).alias(f"n_{k}") for k in secret_scan.BASE), F.sha2(secret_scan.joined(spans, secret_scan.BASE), 256).alias("base_sha256"), secret_scan.joined(spans).alias("spans"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_packing, op4_substring, op6_token_files, op7_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_html, op3_packing, op4_substring, op6_token_files, op7_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
