@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, packing, quality, secret_scan, simhash, substring, token_files
+from . import cross_polytope, html_text, packing, quality, secret_scan, simhash, substring, token_files
 from .common import fresh_path
 
 
@@ -47,12 +47,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs.select("doc_id", "text"), trees).select("row.doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_html, op3_packing, op4_substring, op6_token_files, op7_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_html, op3_packing, op4_substring, op6_token_files, op7_quality, op9_embeddings, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
