@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_polytope, html_text, packing, quality, secret_scan, simhash, substring, token_files
+from . import cross_polytope, html_text, packing, piece_fst, quality, secret_scan, sharding, simhash, substring, token_files
 from .common import fresh_path
 
 
@@ -35,6 +35,10 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("row.doc_id", "n_words", "n_removed", F.sha2(F.when(F.col("n_removed") > 0, F.col("text")).otherwise(joined), 256).alias("kept_sha256"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_fst.digests(_table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     token_files.write_tokens(_table(spark, sf_dir, "documents"), path)
@@ -47,6 +51,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs.select("doc_id", "text"), trees).select("row.doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assigned(_table(spark, sf_dir, "documents")).drop("h")
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -56,8 +64,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_html, op3_packing, op4_substring, op6_token_files, op7_quality, op9_embeddings, op10_simhash)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_html, op3_packing, op4_substring, op5_pieces, op6_token_files, op7_quality, op8_sharding, op9_embeddings, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secret_scan.ORACLE_SQL}
+    return {"op1_secret_scan": secret_scan.ORACLE_SQL, "op8_sharding": sharding.oracle()}
