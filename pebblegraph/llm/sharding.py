@@ -52,7 +52,7 @@ def assigned(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_c
         each = fine.withColumn("d", F.explode(F.sequence(F.lit(low), F.lit(depth)))).withColumn("q", _prefix(F.col("d")))
         sums = each.groupBy("d", "q").agg(F.sum("b").alias("bytes"), F.min("h").alias("lo"), F.max("top").alias("hi"), F.sum("n").alias("n"))
         fits = sums.where((F.col("bytes") <= limit) | (F.col("lo") == F.col("hi"))).select("d", "q", "bytes", "n")
-        leaf = each.join(fits, ["d", "q"]).groupBy("p").agg(F.min(F.struct("d", "q", "bytes", "n")).alias("leaf"))
+        leaf = each.drop("n").join(fits, ["d", "q"]).groupBy("p").agg(F.min(F.struct("d", "q", "bytes", "n")).alias("leaf"))
         leaf = written(fine.select("p").join(leaf, "p", "left"), "directory")
         done = leaf.where("leaf is not null").select("p", "leaf.*")
         parts.append(active.withColumn("p", _prefix(depth)).join(done, "p"))
