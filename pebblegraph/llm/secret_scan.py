@@ -97,12 +97,15 @@ def joined(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
     return F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(docs: DataFrame, text_col: str = "text", rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    """The table with each finding in the text replaced by a mark, one kind after the other, in time linear in the text."""
+def redacted(docs: DataFrame, text_col: str = "text", where: Column | None = None, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+    """The table with each finding in the text replaced by a mark, one kind after the other, in time linear in the text.
+
+    where: rows that have findings, if that is known; others are left as they are.
+    """
     for kind, pattern, test in rules:
         text = F.col(f"`{text_col}`")
         parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), _marker(kind))
-        docs = docs.withColumn(text_col, F.when(text.rlike(test), F.array_join(parts, "")).otherwise(text))
+        docs = docs.withColumn(text_col, F.when(text.rlike(test) if where is None else where & text.rlike(test), F.array_join(parts, "")).otherwise(text))
     return docs
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import renamed, written
+from .common import written
 from .components import connected_components
 
 SEED = 42
@@ -70,15 +70,20 @@ def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of each row."""
+    """doc_id, k1 and k2 (hashes of id and text that know a row), fp (the fingerprint as a signed long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            found = np.array([fingerprint(t) for t in batch.column(3).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found)], ["doc_id", "k1", "k2", "fp"])
 
-    rows = renamed(docs, {"doc_id": id_col, "text": text_col}).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = _keyed(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), "_k1", "_k2", F.col(f"`{text_col}`").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, fp long")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    i, t = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    return docs.withColumns({"_k1": F.xxhash64(i, t), "_k2": F.xxhash64(t, i, F.lit(1))})
 
 
 def _forest(a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -165,12 +170,24 @@ def links(points: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) -> Da
     return dealt.mapInArrow(lambda b: _links(b, distance), "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest id within reach of links) of each row."""
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, k1, k2, fp, component (a fingerprint), component_id (smallest id within reach of links) of each row."""
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
     points = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
     reach = connected_components(links(points))
     named = points.join(reach, points["fp"] == reach["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = written(named.join(least, "component").select(F.col("fp").alias("of"), "component_id"), "labels")
-    return rows.join(labels, rows["fp"] == labels["of"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = written(named.join(least, "component").select(F.col("fp").alias("of"), "component", "component_id"), "labels")
+    return rows.join(labels, rows["fp"] == labels["of"]).drop("of")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest id within reach of links) of each row."""
+    return grouped(docs, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The table with one row of each component: that of the smallest id (of equal ids, the smallest hash)."""
+    first = grouped(docs, id_col, text_col).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("first"))
+    kept = first.select(F.col("first.k1").alias("_k1"), F.col("first.k2").alias("_k2"))
+    return _keyed(docs, id_col, text_col).join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*(F.col(f"`{c}`") for c in docs.columns))
