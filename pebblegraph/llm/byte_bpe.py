@@ -1,8 +1,10 @@
 """Byte-level BPE ids of whole texts by the tokenizers library, with a bounded cache of frequent words.
 
-The pre-tokeniser never joins a non-space character with a space that follows it. A text in which no space follows
-other white space may therefore be cut before each space, and the parts encoded on their own. Any other text is
-encoded in one piece, so the ids are those of the library in every case.
+The pre-tokeniser never joins a character that is not white space with white space that follows it, so a text may be cut
+there. Texts are cut before each space, unless a space follows other white space; such a text is encoded as it is. Arrow
+cuts the texts of a slice and numbers their distinct words; words that are not cached are encoded many at a time, in one
+string, and told apart by the bytes that each id stands for; numpy puts the words' ids together. So the ids are those of
+the library in every case.
 """
 
 from __future__ import annotations
@@ -11,9 +13,13 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: White space and then a space: such a text is not cut.
-UNSAFE = re.compile(r"\s ")
+#: Two words with a line's end between them.
+LINE_END = re.compile(r"(\S+)\n(\S+)")
+#: After letters below U+0250, these are encoded on their own.
+TAILS = ",.;:!?|"
 
 
 class ByteBpe:
@@ -23,57 +29,126 @@ class ByteBpe:
     ``cached``: words that are kept at most; after that, new words are encoded anew each time.
     """
 
-    def __init__(self, path: str, special_as_text: bool = True, cached: int = 400_000) -> None:
+    def __init__(self, path: str, special_as_text: bool = True, cached: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
+        self.special_as_text = special_as_text
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)  # one character a byte
         self.cached = cached
         self.words: dict[str, bytes] = {}
+        self.tails = dict(zip(TAILS, self._each(list(TAILS))))
+        self.line_end = self._each(["\n"])[0]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _each(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _some(self, texts: list[str]) -> list[bytes]:
-        parts = [[] if UNSAFE.search(x) else x.split(" ") for x in texts]
-        whole = dict(zip((k for k, p in enumerate(parts) if not p), self._ids([x for x, p in zip(texts, parts) if not p])))
-        heads = dict(zip((k for k, p in enumerate(parts) if p), self._ids([p[0] for p in parts if p])))
+    def _joined(self, parts: list[str]) -> list[bytes]:
+        """Parts that are one white space and then none."""
+        out: list[bytes] = []
+        for i in range(0, len(parts), 4096):
+            some = parts[i : i + 4096]
+            runs = ["".join(some[j : j + 64]) for j in range(0, len(some), 64)]
+            ids = np.array([k for x in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False) for k in x.ids], dtype="<u4")
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(p.encode()) for p in some])) + 1
+            raw, at = ids.tobytes(), 0
+            for end in ends.tolist():
+                out.append(raw[4 * at : 4 * end])
+                at = end
+        return out
+
+    def _new(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of a space and each of these; they hold no space."""
+        words, out, lines, odd, pairs = self.words, {}, set(), [], {}
+        broken = {w for w in missing if "\n" in w}
+        spaced = missing - broken
+        if len(" ".join(spaced).split()) != len(spaced):  # empty, or other white space inside
+            odd = [w for w in spaced if len(w.split()) != 1 or w[0].isspace() or w[-1].isspace()]
+            spaced.difference_update(odd)
+        for w in broken:
+            if m := LINE_END.fullmatch(w):
+                pairs[w] = m.groups()
+                spaced.add(m[1])
+                lines.add(m[2])
+            else:
+                odd.append(w)
+        stems = {w: w[:-1] for w in spaced if w[-1] in self.tails and w not in words and w[:-1].isalpha() and (w.isascii() or max(w) < "ɐ")}
+        plain = [w for w in (spaced - stems.keys()).union(stems.values()) if w not in words]
+        after = list(lines)
+        found = self._joined([f" {w}" for w in plain] + [f"\n{w}" for w in after])
+        out.update(zip(plain, found))
+        of_line = dict(zip(after, found[len(plain) :]))
+        out.update((w, (words.get(s) or out[s]) + self.tails[w[-1]]) for w, s in stems.items())
+        out.update((w, (words.get(a) or out[a]) + of_line[b]) for w, (a, b) in pairs.items())
+        out.update(zip(odd, self._each([f" {w}" for w in odd])))
+        return out
+
+    def _some(self, texts: pa.Array) -> list[bytes]:
+        parts = pc.split_pattern(texts, " ")
+        offsets = np.asarray(parts.offsets)
+        base = int(offsets[0])
+        coded = parts.values.slice(base, int(offsets[-1]) - base).dictionary_encode()
+        offsets = offsets - base
+        at, names = np.array(coded.indices), coded.dictionary.to_pylist()
         words = self.words
-        missing = list(set().union(*(p[1:] for p in parts)).difference(words))
-        extra: dict[str, bytes] = {}
-        for i in range(0, len(missing), 4096):
-            some = missing[i : i + 4096]
-            extra.update(zip(some, self._ids([f" {w}" for w in some])))
+        got = list(map(words.get, names))
+        new = [k for k, g in enumerate(got) if g is None]
+        # a part that is empty or ends in white space, and is not a text's last, or its first if it is empty
+        bad = np.zeros(len(names), bool)
+        bad[[k for k in new if not names[k] or names[k][-1].isspace()]] = True
+        first, last = offsets[:-1], offsets[1:] - 1
+        odd = bad[at]
+        odd[last] = False
+        empty = names.index("") if "" in names else -1
+        odd[first[at[first] == empty]] = False
+        whole = np.nonzero(np.add.reduceat(odd, first))[0] if len(at) else np.zeros(0, int)
+        if not self.special_as_text:
+            whole = np.union1d(whole, np.nonzero(np.asarray(pc.match_substring(texts, "<|")))[0])
+        extra = self._new({names[k] for k in new})
+        for k in new:
+            got[k] = extra[names[k]]
         room = self.cached - len(words)
         if room > 0:
-            words.update((w, v) for w, v in list(extra.items())[:room] if len(w) <= 40)
-        if len(extra) == 0:
-            get = words.__getitem__
-        else:
-            def get(w: str) -> bytes:
-                return words.get(w) or extra[w]
-        return [whole[k] if k in whole else heads[k] + b"".join(map(get, p[1:])) for k, p in enumerate(parts)]
-
-    def encode(self, texts: Iterable[str | None], at_once: int = 1_000_000) -> Iterator[bytes]:
-        """The ids of each text in order; texts of about ``at_once`` characters are held at a time. Null counts as empty."""
-        held: list[str] = []
-        size = 0
-        for text in texts:
-            held.append(text or "")
-            size += len(held[-1])
-            if size >= at_once or len(held) >= 4096:
-                yield from self._some(held)
-                held, size = [], 0
-        if held:
-            yield from self._some(held)
+            words.update([(names[k], got[k]) for k in new if not bad[k] and len(names[k]) <= 40][:room])
+        # heads have no space before them; a text that is not cut is all head
+        heads = [names[i] for i in at[first].tolist()]
+        for k in whole.tolist():
+            heads[k] = texts[k].as_py()
+            at[first[k] : last[k] + 1] = len(names)
+        got.append(b"")
+        table = got + self._each(heads)
+        at[first] = len(got) + np.arange(len(first))
+        ids = np.frombuffer(b"".join(table), "<u4")
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        start = np.cumsum(size) - size
+        n = size[at]
+        end = np.cumsum(n)
+        out = ids[np.repeat(start[at] - (end - n), n) + np.arange(end[-1] if len(end) else 0)].tobytes()
+        stop = end[last].tolist()
+        return [out[4 * i : 4 * j] for i, j in zip([0, *stop], stop)]
+
+    def encode(self, texts: pa.Array | Iterable[str | None], at_once: int = 4_000_000) -> Iterator[bytes]:
+        """The ids of each text in order; texts of about ``at_once`` bytes are held at a time. Null counts as empty."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.string())
+        column = pc.fill_null(column, "")
+        ends = np.cumsum(np.asarray(pc.binary_length(column)))
+        i = 0
+        while i < len(column):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + at_once, side="right")))
+            yield from self._some(column.slice(i, j - i))
+            i = j
 
 
 _MADE: dict[tuple, ByteBpe] = {}
 
 
 def byte_bpe(path: str, special_as_text: bool = True) -> ByteBpe:
-    """One tokenizer per worker process; set up before its library starts threads."""
+    """One tokenizer per worker process; its library starts no threads."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -27,6 +27,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Batches of at most 8 MB between the JVM and Python, so that long texts do not fill a worker's memory.
+
+    The session's own setting stays if it is not the default.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64m") in ("64m", "67108864b", "67108864"):
+        spark.conf.set(key, size)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: what follows survives lost executors and does not repeat what made it."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 from .components import connected_components
 
 COSINE = 0.98
@@ -141,6 +141,7 @@ def _compared(cosine: float):
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, parts: int = PARTS, probes: int = PROBES, chunk: int = CHUNK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept of each row."""
+    small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("x"), F.col(f"`{label_col}`").cast("string").alias("label"))
     bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) | ~F.exists("x", lambda v: v != 0)
     usable = F.col("label").isNotNull() & F.coalesce(~bad, F.lit(False))

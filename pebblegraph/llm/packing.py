@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe, default_path
-from .common import renamed
+from .common import renamed, small_batches
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Documents in a group, on average. A group's rests are 4 MB at most; its one open sequence is a thousandth of it.
@@ -88,6 +88,7 @@ def filled_up(bins: list[list[int]], lengths: list[int], size: int) -> list[list
 
 def pack(docs: DataFrame, size: int = 1024, tokenizer: str | None = None, end_id: int = 0, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; no sequence exceeds ``size``."""
+    small_batches(docs.sparkSession)
     tokenizer = tokenizer or default_path()
     end = np.uint32(end_id).tobytes()
     schema = pa.schema([("g", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("full", pa.binary()), ("rest", pa.binary())])
@@ -96,7 +97,7 @@ def pack(docs: DataFrame, size: int = 1024, tokenizer: str | None = None, end_id
         bpe = byte_bpe(tokenizer)
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
-                g, ids, texts = (c.to_pylist() for c in batch.slice(lo, 2000).columns)
+                g, ids, texts = batch.slice(lo, 2000).columns
                 n, full, rest = [], [], []
                 for got in bpe.encode(texts):
                     got += end
@@ -104,7 +105,7 @@ def pack(docs: DataFrame, size: int = 1024, tokenizer: str | None = None, end_id
                     whole = n[-1] // size * size
                     full.append(np.array([zlib.crc32(got[4 * i : 4 * (i + size)]) for i in range(0, whole, size)], "<u4").tobytes())
                     rest.append(got[4 * whole :])
-                yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip((g, ids, n, full, [_narrow(r) for r in rest]), schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([g, ids, pa.array(n, pa.int64()), pa.array(full, pa.binary()), pa.array([_narrow(r) for r in rest], pa.binary())], schema=schema)
 
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(c=[zlib.crc32(r) for r in rows["rest"]]).sort_values(["doc_id", "n", "c"], kind="stable")

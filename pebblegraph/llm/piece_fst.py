@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|\n+|[^{MARK}\n]+")
@@ -89,35 +91,69 @@ class PieceFst:
         self.score = {p: self.pieces[i][1] for p, i in self.ids.items()}
         self.byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.unknown = next(i for i, (_, _, kind) in enumerate(self.pieces) if kind == UNKNOWN)
-        self.longest = max(map(len, self.ids), default=1)
+        order = sorted((p for p in self.ids if len(p) > 1), key=lambda p: -self.score[p])
+        self.split = {p: self._last_merge(p) for p in order}
+        self.ids = {p: i for p, i in self.ids.items() if len(p) == 1 or self.split[p]}  # others never come out of merges
+        self.rank = {p: r for r, p in enumerate(p for p in order if self.split[p])}
+        self.tails = {p[k:] for p in self.rank for k in range(len(p))}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
         self.spoken = [b"" if kind == CONTROL else bytes([int(p[3:5], 16)]) if kind == BYTE else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.pieces]
 
+    def _last_merge(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that are joined last when a piece is merged from its characters; None if they do not end in it."""
+        parts, score = list(piece), self.score
+        while True:
+            best = max(((score[m], -i) for i in range(len(parts) - 1) if (m := parts[i] + parts[i + 1]) in score), default=None)
+            if best is None:
+                return None
+            i = -best[1]
+            if len(parts) == 2:
+                return parts[0], parts[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
     def _stand(self, a: str, b: str) -> bool:
-        """Whether the merges of a and b's joint text end in a and b."""
+        """Whether the merges of a and b's joint text end in a and b.
+
+        The merges of both are undone, the latest first; a merge over their border that would have come earlier rules the
+        pair out.
+        """
         found = self.pairs.get((a, b))
-        if found is None:
-            parts, score = list(a + b), self.score
-            while True:
-                best = max(((score[m], -i) for i in range(len(parts) - 1) if (m := parts[i] + parts[i + 1]) in score), default=None)
-                if best is None:
-                    break
-                i = -best[1]
-                parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            found = parts == [a, b]
-            if len(self.pairs) < 1_000_000:
-                self.pairs[a, b] = found
+        if found is not None:
+            return found
+        rank, split, x, y, limit = self.rank, self.split, a, b, 1 << 60
+        p, q = rank.get(x, -1), rank.get(y, -1)
+        found = True
+        while True:
+            over = rank.get(x + y)
+            if over is not None and over < limit:
+                found = False
+                break
+            if p > q:
+                limit, x = p, split[x][1]
+                p = rank.get(x, -1)
+            elif q >= 0:
+                limit, y = q + 1, split[y][0]
+                q = rank.get(y, -1)
+            else:
+                break
+        if len(self.pairs) < 300_000:
+            self.pairs[a, b] = found
         return found
 
     def _path(self, s: str) -> list[str]:
         """The shortest path of a word's lattice; ``last[i]`` is the piece that the path of the first i characters ends in."""
-        ids, stand, longest = self.ids, self._stand, self.longest
+        ids, tails, stand = self.ids, self.tails, self._stand
         last: list[str] = [""] * (len(s) + 1)
         for i in range(1, len(s) + 1):
-            for k in range(max(0, i - longest), i):
-                piece = s[k:i]
-                if (piece in ids or k == i - 1) and (k == 0 or stand(last[k], piece)):
+            k, near = i - 2, [s[i - 1]]
+            while k >= 0 and (piece := s[k:i]) in tails:
+                if piece in ids:
+                    near.append(piece)
+                k -= 1
+            for piece in reversed(near):
+                k = i - len(piece)
+                if k == 0 or stand(last[k], piece):
                     last[i] = piece
                     break
         out, i = [], len(s)
@@ -196,6 +232,7 @@ def decoded(rows: DataFrame, model: str | None = None) -> DataFrame:
 
 def digests(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_ids, ids_crc32, round_trip (whether decoding gives the text back) of each row, in one pass."""
+    small_batches(docs.sparkSession)
     model = model or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

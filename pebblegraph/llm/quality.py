@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -149,6 +151,7 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: list[int], trees: int = 60, dept
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Trees | None:
     """Trees fitted to at most ``sample`` labelled documents; None without labels of both classes."""
+    small_batches(docs.sparkSession)
     some = labels.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{label_col}`").cast("double").alias("y")).dropna()
     some = some.orderBy(F.xxhash64("i"), "i", "y").limit(sample).dropDuplicates(["i"])
 
@@ -168,6 +171,7 @@ def judged(docs: DataFrame, trees: Trees | None, threshold: float = THRESHOLD, t
     """``row`` (a struct of all columns but the text), ``text``, the base statistics, base_failed, score, kept."""
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*others).alias("row") if others else F.struct(F.lit(0).alias("_")).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

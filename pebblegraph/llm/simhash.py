@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 from .components import connected_components
 
 SEED = 42
@@ -77,6 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(t) for t in batch.column(3).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found)], ["doc_id", "k1", "k2", "fp"])
 
+    small_batches(docs.sparkSession)
     rows = _keyed(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), "_k1", "_k2", F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, fp long")
 

@@ -23,10 +23,16 @@ BITS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 30, 60])
 ORDER = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 15, 0]
 
 
+#: Bits that each value below 2^16 needs, 1 at least.
+_BITS16 = np.array([max(1, i.bit_length()) for i in range(1 << 16)], np.uint8)
+
+
 def _widths(ids: np.ndarray) -> np.ndarray:
     """Bits that each value needs, 1 at least."""
+    if not len(ids) or ids.max() < 1 << 16:
+        return _BITS16[ids]
     out = np.ones(len(ids), np.uint8)
-    for b in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60):
+    for b in range(1, 64):
         more = ids >> np.uint64(b) != 0
         if not more.any():
             break
@@ -45,8 +51,11 @@ def _selectors(ids: np.ndarray, left: np.ndarray) -> np.ndarray:
         x = spans[at]
         spans[at * 2] = np.concatenate([np.maximum(x[:-at], x[at:]), x[-at:]])
         at *= 2
+    least = int(width.min()) if n else 0
     for s in reversed(ORDER[:-2]):
         c = int(COUNT[s])
+        if BITS[s] < least:
+            continue
         p = 1 << (c.bit_length() - 1)
         if p not in spans:
             continue  # fewer ids than the selector holds
@@ -64,7 +73,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.uint32)
     ends = np.minimum(np.arange(1, blocks + 1) * block, n)
-    left = np.repeat(ends, np.diff(np.concatenate([[0], ends]))) - np.arange(n)
+    left = (np.repeat(ends, np.diff(np.concatenate([[0], ends]))) - np.arange(n)).astype(np.int32)
     sel = _selectors(ids, left)
     step = COUNT[sel]
     at, starts, which = np.arange(blocks) * block, [], []

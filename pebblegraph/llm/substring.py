@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import small_batches, text_bytes
 
 WINDOW = 35
 GRAM = 12
@@ -43,20 +43,15 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 class _Hashes(dict):
-    """XXH64 of words; starts anew when it is full."""
+    """XXH64 of words."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 500_000:
-            self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
 
 
-_WORDS = _Hashes()
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2^64, and their inverses."""
     if len(_POWERS.get("up", ())) < n:
@@ -81,8 +76,8 @@ class Block:
     def __init__(self, texts: Iterable[str | None], window: int, gram: int) -> None:
         self.words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         self.size = np.array([len(w) for w in self.words], dtype=np.int64)
-        n = int(self.size.sum())
-        hashes = np.fromiter((h for w in self.words for h in map(_WORDS.__getitem__, w)), np.uint64, n)
+        n, of = int(self.size.sum()), _Hashes()
+        hashes = np.fromiter((h for w in self.words for h in map(of.__getitem__, w)), np.uint64, n)
         self.window = window
         up, self.down = _powers(n + 1)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:n], dtype=np.uint64)])
@@ -183,6 +178,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
     if not 0 < gram <= window:
         raise ValueError("a shingle of 1 to window words is needed")
     spark = docs.sparkSession
+    small_batches(spark)
     _, size = text_bytes(docs, text_col)
     blocks, ranges = max(1, size // block_bytes), max(1, size // range_bytes)
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]

@@ -18,18 +18,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
 from .byte_bpe import byte_bpe, default_path
-from .common import renamed
+from .common import renamed, small_batches
 
 SEGMENT = "part int, seq int, before long, n_ids long, doc_ids array<long>, payload binary"
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, segment_ids: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all documents under ``path``; a segment closes at ``segment_ids`` ids."""
+    small_batches(docs.sparkSession)
     tokenizer = tokenizer or default_path()
     end = np.uint32(end_id).tobytes()
 
@@ -49,7 +50,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))], ["part", "seq", "before", "n_ids", "doc_ids", "payload"])
 
         for batch in batches:
-            for doc, got in zip(batch.column(0).to_pylist(), bpe.encode(batch.column(1).to_pylist())):
+            for doc, got in zip(batch.column(0).to_pylist(), bpe.encode(batch.column(1))):
                 held.append(got + end)
                 ids.append(doc)
                 state[2] += len(held[-1]) // 4
@@ -93,6 +94,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     found = segments.select("part", "before", "doc_ids", "payload").mapInArrow(digests, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
     # one row a range: as few as the writer had tasks, whatever the corpus
-    sums = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    base = sums.alias("a").join(sums.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("base"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = segments.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     return found.join(F.broadcast(base), "part").select("doc_id", (F.col("at") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")

@@ -29,8 +29,8 @@ def _per_graph(nodes: DataFrame, edges: DataFrame, run: Callable, schema: str) -
         size = max((len(c) for c in cols), default=0)
         return pd.DataFrame(dict(zip(names, [np.full(size, key[0]), *cols])))
 
-    n, e = nodes.select("graph_id", "node_id"), edges.select("graph_id", "src", "dst", w_or_1().alias("weight"))
-    return n.groupBy("graph_id").cogroup(e.groupBy("graph_id")).applyInPandas(kernel, schema)
+    n, e = nodes.select("graph_id", "node_id"), edges.select(F.col("graph_id").alias("_g"), "src", "dst", w_or_1().alias("weight"))
+    return n.groupBy("graph_id").cogroup(e.groupBy("_g")).applyInPandas(kernel, schema)
 
 
 def laplacian(a: np.ndarray, normalized: bool = True) -> np.ndarray:
@@ -109,8 +109,8 @@ def kron(nodes: DataFrame, edges: DataFrame, kept: DataFrame, threshold: float =
         label = cluster[keep].to_numpy().astype(np.int64)
         return pd.DataFrame({"graph_id": np.full(len(i), key[0]), "src": label[i], "dst": label[j], "weight": m[i, j]})
 
-    e = edges.select("graph_id", "src", "dst", w_or_1().alias("weight"))
-    return flags.groupBy("graph_id").cogroup(e.groupBy("graph_id")).applyInPandas(kernel, "graph_id long, src long, dst long, weight double")
+    e = edges.select(F.col("graph_id").alias("_g"), "src", "dst", w_or_1().alias("weight"))
+    return flags.groupBy("graph_id").cogroup(e.groupBy("_g")).applyInPandas(kernel, "graph_id long, src long, dst long, weight double")
 
 
 def factorised(a: np.ndarray, k: int, rounds: int = 500) -> np.ndarray:
@@ -377,4 +377,4 @@ def hops(nodes: DataFrame, edges: DataFrame, leaders: DataFrame) -> DataFrame:
             out += [(key[0], k, leader, h) for k, h in seen.items()]
         return pd.DataFrame(out, columns=["graph_id", "node_id", "leader", "hops"])
 
-    return flags.groupBy("graph_id").cogroup(edges.select("graph_id", "src", "dst").groupBy("graph_id")).applyInPandas(kernel, "graph_id long, node_id long, leader long, hops long")
+    return flags.groupBy("graph_id").cogroup(edges.select(F.col("graph_id").alias("_g"), "src", "dst").groupBy("_g")).applyInPandas(kernel, "graph_id long, node_id long, leader long, hops long")
