@@ -67,7 +67,7 @@ class ByteBpe:
         words, out, lines, odd, pairs = self.words, {}, set(), [], {}
         broken = {w for w in missing if "\n" in w}
         spaced = missing - broken
-        if len(" ".join(spaced).split()) != len(spaced):  # empty, or other white space inside
+        if " ".join(spaced).split() != list(spaced):  # empty, or other white space inside
             odd = [w for w in spaced if len(w.split()) != 1 or w[0].isspace() or w[-1].isspace()]
             spaced.difference_update(odd)
         for w in broken:
