@@ -78,13 +78,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found)], ["doc_id", "k1", "k2", "fp"])
 
     small_batches(docs.sparkSession)
-    rows = _keyed(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), "_k1", "_k2", F.col(f"`{text_col}`").alias("text"))
+    rows = _keyed(docs, id_col, text_col).select(F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), "k1", "k2", F.col(f"row.`{text_col}`").alias("text"))
     return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, fp long")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row`` (a struct of all columns), and two hashes of id and text."""
     i, t = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
-    return docs.withColumns({"_k1": F.xxhash64(i, t), "_k2": F.xxhash64(t, i, F.lit(1))})
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(i, t).alias("k1"), F.xxhash64(t, i, F.lit(1)).alias("k2"))
 
 
 def _forest(a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -190,5 +191,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The table with one row of each component: that of the smallest id (of equal ids, the smallest hash)."""
     first = grouped(docs, id_col, text_col).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("first"))
-    kept = first.select(F.col("first.k1").alias("_k1"), F.col("first.k2").alias("_k2"))
-    return _keyed(docs, id_col, text_col).join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = first.select("first.k1", "first.k2")
+    return _keyed(docs, id_col, text_col).join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
