@@ -323,6 +323,9 @@ def labelled_pages(count: int = 300, seed: int = 7) -> Iterator[str]:
         return f"<{t}{named(kind)}>{inner if t in ('p', 'span') else pick([inner, f'<p>{inner}</p>', f'<p>{inner}</p><a href=/>{words(1, 3)}</a>'])}</{t}>"
 
     for _ in range(count):
+        if r.random() < 0.12:  # a piece of a page without its frame
+            yield pick([article, lambda: f"<article><p>{text(2, 8)}</p>{pick(['', other('form')])}</article>", lambda: text(3, 40), lambda: f"<p>{text(3, 40)}</p>"])()
+            continue
         before = "".join(other(k) for k in ("notice", "header", "menu", "advert", "form", "side") if r.random() < 0.5)
         after = "".join(other(k) for k in ("share", "comment", "side", "advert", "form", "comment", "notice", "footer") if r.random() < 0.5)
         inner = before + article() + after
