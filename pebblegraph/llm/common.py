@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` cuts exactly there.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,6 +51,11 @@ def text_bytes(docs: DataFrame, col: str = "text") -> tuple[int, int]:
     return int(n), int(size)
 
 
+def with_row(rows: DataFrame, columns: str) -> T.StructType:
+    """The type of the column ``row``, nulls or not, and then ``columns``."""
+    return T.StructType([T.StructField("row", rows.schema["row"].dataType), *T._parse_datatype_string(columns).fields])
+
+
 def renamed(docs: DataFrame, cols: dict[str, str]) -> DataFrame:
     """Only the named columns, under names of our own, so that other columns cannot clash."""
     return docs.select(*(F.col(f"`{old}`").alias(new) for new, old in cols.items()))

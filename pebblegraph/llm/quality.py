@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, with_row
 
 SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -183,5 +183,4 @@ def judged(docs: DataFrame, trees: Trees | None, threshold: float = THRESHOLD, t
             score = sent.value.probability(x) if sent.value else np.ones(len(x))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(base[:, k]) for k in range(len(BASE))), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))], ["row", "text", *BASE, "base_failed", "score", "kept"])
 
-    out = f"row {rows.schema['row'].dataType.simpleString()}, text string, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, score double, kept boolean"
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(run, with_row(rows, "text string, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, score double, kept boolean"))

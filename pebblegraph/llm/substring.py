@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes
+from .common import small_batches, text_bytes, with_row
 
 WINDOW = 35
 GRAM = 12
@@ -216,7 +216,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
     told = by_block.applyInArrow(first, ask).groupBy("part").applyInArrow(_answered(1), tell)
     asked = by_block.cogroup(told.groupBy("block")).applyInArrow(second, ask)
     told = told.union(asked.groupBy("part").applyInArrow(_answered(2), tell))
-    out = f"row {rows.schema['row'].dataType.simpleString()}, text string, n_words long, n_removed long"
+    out = with_row(rows, "text string, n_words long, n_removed long")
     return by_block.cogroup(told.groupBy("block")).applyInArrow(third, out)
 
 
