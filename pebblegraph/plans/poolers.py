@@ -103,6 +103,7 @@ def asap(g: Graph, ratio: float = 0.5, lin: list | None = None, att: list[float]
 
 
 def ec(g: Graph, p: list[float] | None = None, method: str = "softmax", add: float = 0.5, spread: bool = False) -> Pooled:
+    g = Graph(g.nodes, cut(g.edges))  # scores and contraction read them several times
     dims = width(g.nodes)
     s = select.edge_scores(g.nodes, g.edges, p or [1.0 / dims] * (2 * dims), method, add)
     return _hard(g, cut(select.edge_contraction(g.nodes, s, spread)), dims)

@@ -16,7 +16,8 @@ from ..plans.fixpoint import ranked
 
 def _both(e: DataFrame) -> DataFrame:
     e = e.where("src <> dst").select(F.lit(0).cast("long").alias("graph_id"), "src", "dst")
-    return e.union(e.select("graph_id", F.col("dst"), F.col("src"))).distinct().withColumn("weight", F.lit(1.0))
+    ends = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return e.select("graph_id", F.inline(ends)).distinct().withColumn("weight", F.lit(1.0))
 
 
 def _nodes(spark: SparkSession, n: int, *x) -> DataFrame:
