@@ -128,7 +128,7 @@ def graph_nearest(spark, d):
     return tables.nearest(spark, d).edges
 
 
-@query(USERS, "SELECT n.graph_id, n.node_id, coalesce(count(e.src), 0) * 1.0 AS degree FROM n LEFT JOIN e ON e.graph_id = n.graph_id AND e.dst = n.node_id GROUP BY ALL")
+@query(USERS, "SELECT n.graph_id, n.node_id, CAST(count(e.src) AS DOUBLE) AS degree FROM n LEFT JOIN e ON e.graph_id = n.graph_id AND e.dst = n.node_id GROUP BY ALL")
 def degree_in(spark, d):
     g = tables.transitions(spark, d)
     return ops.degree(g.nodes, g.edges, "dst", False)
@@ -228,7 +228,7 @@ def loader_batches(spark, d):
     return generators.batches(tables.conversations(spark, d).nodes, 32)
 
 
-@query(USERS, "SELECT 0 AS graph_id, src, dst, weight FROM e WHERE graph_id = (SELECT min(graph_id) FROM n) UNION ALL SELECT 1, src, dst, weight FROM e WHERE graph_id = (SELECT max(graph_id) FROM n)")
+@query(USERS, "SELECT CAST(0 AS BIGINT) AS graph_id, src, dst, weight FROM e WHERE graph_id = (SELECT min(graph_id) FROM n) UNION ALL SELECT 1, src, dst, weight FROM e WHERE graph_id = (SELECT max(graph_id) FROM n)")
 def collated_graphs(spark, d):
     from .graph import collated, separated
 
@@ -279,12 +279,12 @@ def min_score_softmax(spark, d):
     return rounded(select.topk(n.select("graph_id", "node_id", (F.col("x")[0] / 100).alias("score")), None, 0.2), "weight")
 
 
-@query(SUPPLIERS, "SELECT graph_id, node_id, node_id AS cluster_id, 1.0 AS weight FROM n")
+@query(SUPPLIERS, "SELECT graph_id, node_id, node_id AS cluster_id, CAST(1 AS DOUBLE) AS weight FROM n")
 def identity_select(spark, d):
     return select.identity(tables.suppliers(spark, d).nodes)
 
 
-@query(SUPPLIERS, "SELECT graph_id, node_id, CAST(dense_rank() OVER (PARTITION BY graph_id ORDER BY x0) - 1 AS BIGINT) AS cluster_id, 1.0 AS weight FROM n")
+@query(SUPPLIERS, "SELECT graph_id, node_id, CAST(dense_rank() OVER (PARTITION BY graph_id ORDER BY x0) - 1 AS BIGINT) AS cluster_id, CAST(1 AS DOUBLE) AS weight FROM n")
 def cluster_to_s(spark, d):
     n = tables.suppliers(spark, d).nodes
     return select.from_labels(n.select("graph_id", "node_id", F.col("x")[0].alias("label")))
@@ -354,7 +354,7 @@ def matching_by_weight(spark, d):
     return select.matching(cut(ranked(e, ["graph_id"], [F.col("weight").desc(), F.col("src"), F.col("dst")], "rank", True))).drop("rank")
 
 
-@query(PARTS, "SELECT CAST(0 AS BIGINT) AS graph_id, node_id, c AS cluster_id, 1.0 AS weight FROM cl", _matching_sql(14, "weight DESC, src, dst"))
+@query(PARTS, "SELECT CAST(0 AS BIGINT) AS graph_id, node_id, c AS cluster_id, CAST(1 AS DOUBLE) AS weight FROM cl", _matching_sql(14, "weight DESC, src, dst"))
 def graclus_select(spark, d):
     g = tables.parts(spark, d)
     return select.graclus(g.nodes, cut(g.edges), spread=True)
