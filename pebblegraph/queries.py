@@ -77,6 +77,23 @@ def query(base: str | None = None, sql: str | None = None, steps: str = ""):
     return add
 
 
+def whole(sql: bool = False):
+    """Register a query of the part graph once more, as NAME_whole, on all pairs of parts that share an order.
+
+    NAME itself keeps the pairs that its SQL keeps. sql: the same SQL without that filter holds for any table; SQL that
+    unrolls a fixpoint does not, so those queries have none and are tested against brute force.
+    """
+
+    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        name = f"{f.__name__}_whole"
+        _QUERIES[name] = lambda spark, d: f(spark, d, 1)
+        if sql:
+            _SQL[name] = _SQL[f.__name__].replace(" HAVING count(*) >= 2", "")
+        return f
+
+    return add
+
+
 def queries() -> dict[str, QUERY]:
     return dict(_QUERIES)
 
@@ -103,9 +120,10 @@ def graph_suppliers(spark, d):
     return tables.suppliers(spark, d).edges
 
 
+@whole(sql=True)
 @query(PARTS, "SELECT * FROM e")
-def graph_parts(spark, d):
-    return tables.parts(spark, d).edges
+def graph_parts(spark, d, least=2):
+    return tables.parts(spark, d, least).edges
 
 
 @query(USERS, "SELECT * FROM e")
@@ -202,7 +220,7 @@ def negative_edges_first_n(spark, d):
 
 @query()
 def negative_edges_sampled(spark, d):
-    g = tables.parts(spark, d)
+    g = tables.parts(spark, d, 1)
     return ops.sampled_negative_edges(g.nodes, g.edges, 3)
 
 
@@ -317,21 +335,24 @@ _DEGREE_SCORE_2 = "WITH k1 AS (SELECT n.node_id, coalesce(sum(e.weight), 0) AS s
 _KMIS_OUT = "SELECT CAST(0 AS BIGINT) AS graph_id, q.node_id, CAST(i.c AS BIGINT) AS cluster_id, CAST(sc.s AS DOUBLE) AS weight FROM q{k} q JOIN (SELECT rk, row_number() OVER (ORDER BY node_id) - 1 AS c FROM z) i ON i.rk = q.m JOIN sc ON sc.node_id = q.node_id"
 
 
+@whole()
 @query(PARTS, _KMIS_OUT.format(k=1), _mis_sql(1, 12, _DEGREE_SCORE))
-def kmis_degree_k1(spark, d):
-    g = tables.parts(spark, d)
+def kmis_degree_k1(spark, d, least=2):
+    g = tables.parts(spark, d, least)
     return select.kmis(g.nodes, cut(g.edges), 1, spread=True)[0]
 
 
+@whole()
 @query(PARTS, _KMIS_OUT.format(k=2), _mis_sql(2, 9, _DEGREE_SCORE_2))
-def kmis_degree_k2(spark, d):
-    g = tables.parts(spark, d)
+def kmis_degree_k2(spark, d, least=2):
+    g = tables.parts(spark, d, least)
     return select.kmis(g.nodes, cut(g.edges), 2, spread=True)[0]
 
 
+@whole()
 @query(PARTS, "SELECT CAST(0 AS BIGINT) AS graph_id, node_id, rk AS rank FROM z", _mis_sql(1, 14, "SELECT node_id, CAST(-node_id AS DOUBLE) AS s, CAST(-node_id AS DOUBLE) AS h FROM n"))
-def kmis_canonical(spark, d):
-    g = tables.parts(spark, d)
+def kmis_canonical(spark, d, least=2):
+    g = tables.parts(spark, d, least)
     return select.kmis(g.nodes, cut(g.edges), 1, "canonical", None, spread=True)[1]
 
 
@@ -346,29 +367,33 @@ def _matching_sql(rounds: int, order: str, source: str = "e WHERE src <> dst") -
     return ", ".join(out)
 
 
+@whole()
 @query(PARTS, "SELECT CAST(0 AS BIGINT) AS graph_id, src, dst FROM z", _matching_sql(14, "weight DESC, src, dst"))
-def matching_by_weight(spark, d):
+def matching_by_weight(spark, d, least=2):
     from .plans.fixpoint import ranked
 
-    e = tables.parts(spark, d).edges
+    e = tables.parts(spark, d, least).edges
     return select.matching(cut(ranked(e, ["graph_id"], [F.col("weight").desc(), F.col("src"), F.col("dst")], "rank", True))).drop("rank")
 
 
+@whole()
 @query(PARTS, "SELECT CAST(0 AS BIGINT) AS graph_id, node_id, c AS cluster_id, CAST(1 AS DOUBLE) AS weight FROM cl", _matching_sql(14, "weight DESC, src, dst"))
-def graclus_select(spark, d):
-    g = tables.parts(spark, d)
+def graclus_select(spark, d, least=2):
+    g = tables.parts(spark, d, least)
     return select.graclus(g.nodes, cut(g.edges), spread=True)
 
 
+@whole()
 @query(PARTS, "SELECT CAST(0 AS BIGINT) AS graph_id, a.c AS src, b.c AS dst, sum(weight) AS weight FROM e JOIN cl a ON a.node_id = src JOIN cl b ON b.node_id = dst WHERE a.c <> b.c GROUP BY ALL", _matching_sql(14, "weight DESC, src, dst"))
-def graclus_pool(spark, d):
-    g = tables.parts(spark, d)
+def graclus_pool(spark, d, least=2):
+    g = tables.parts(spark, d, least)
     return poolers.graclus(Graph(g.nodes, cut(g.edges)), spread=True).edges
 
 
+@whole()
 @query(PARTS, "SELECT CAST(0 AS BIGINT) AS graph_id, node_id, c AS cluster_id FROM cl", "sc AS MATERIALIZED (SELECT src, dst, tanh((a.x0 - b.x0) / 64.0) + 0.5 AS s FROM e JOIN n a ON a.node_id = src JOIN n b ON b.node_id = dst), " + _matching_sql(16, "s DESC, src, dst", "sc"))
-def ec_select(spark, d):
-    g = tables.parts(spark, d)
+def ec_select(spark, d, least=2):
+    g = tables.parts(spark, d, least)
     e = cut(g.edges)
     s = select.edge_scores(g.nodes, e, [1 / 64, 0.0, -1 / 64, 0.0], "tanh")
     return select.edge_contraction(g.nodes, s, spread=True).drop("weight")
@@ -377,16 +402,18 @@ def ec_select(spark, d):
 _VOTES = "SELECT dst AS node_id, cluster_id FROM (SELECT e.dst, k.cluster_id, row_number() OVER (PARTITION BY e.dst ORDER BY count(*) DESC, k.cluster_id) AS r FROM e JOIN {0} k ON k.node_id = e.src WHERE e.dst NOT IN (SELECT node_id FROM {0}) GROUP BY e.dst, k.cluster_id) WHERE r = 1"
 
 
+@whole(sql=True)
 @query(PARTS, "SELECT CAST(0 AS BIGINT) AS graph_id, * FROM (" + _VOTES.format("k0") + ")", "k0 AS (SELECT node_id, node_id AS cluster_id FROM n WHERE node_id % 10 = 0)")
-def propagate_one_round(spark, d):
-    g = tables.parts(spark, d)
+def propagate_one_round(spark, d, least=2):
+    g = tables.parts(spark, d, least)
     return select.propagate_once(g.nodes.where("node_id % 10 = 0").select("graph_id", "node_id", F.col("node_id").alias("cluster_id")), g.edges)
 
 
+@whole(sql=True)
 @query(PARTS, "SELECT CAST(0 AS BIGINT) AS graph_id, node_id, cluster_id FROM k5", "k0 AS (SELECT node_id, node_id AS cluster_id FROM n WHERE node_id % 10 = 0), " + ", ".join(f"k{i + 1} AS MATERIALIZED (SELECT * FROM k{i} UNION ALL {_VOTES.format(f'k{i}')})" for i in range(5)))
-def assign_reachable_nodes(spark, d):
+def assign_reachable_nodes(spark, d, least=2):
     """What five rounds reach; assign_all() adds hashed choices for the rest."""
-    g = tables.parts(spark, d)
+    g = tables.parts(spark, d, least)
     e, kept = cut(g.edges), g.nodes.where("node_id % 10 = 0").select("graph_id", "node_id", F.col("node_id").alias("cluster_id"))
     have = cut(kept)
     for _ in range(5):
@@ -396,7 +423,7 @@ def assign_reachable_nodes(spark, d):
 
 @query()
 def assign_all_nodes(spark, d):
-    g = tables.parts(spark, d)
+    g = tables.parts(spark, d, 1)
     kept = g.nodes.where("node_id % 10 = 0").select("graph_id", "node_id", F.col("node_id").alias("cluster_id"))
     return select.assign_all(g.nodes, cut(g.edges), kept)
 
