@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .plans.fixpoint import ranked
+
 EPS = 1e-8
 NODE, EDGE, ASSIGN = ("graph_id", "node_id", "x"), ("graph_id", "src", "dst", "weight"), ("graph_id", "node_id", "cluster_id", "weight")
 
@@ -63,6 +65,14 @@ def collated(graphs: list[Graph]) -> Graph:
     return Graph(nodes, edges)
 
 
+def renumbered(graph: Graph) -> Graph:
+    """The disjoint union of all graphs of a table in one step; graph ids are numbered from 0 in their order."""
+    ids = graph.nodes.select("graph_id").distinct().withColumn("_all", F.lit(0))
+    ids = ranked(ids, ["_all"], [F.col("graph_id")], "_to", spread=True).select("graph_id", "_to")
+    nodes, edges = (d.join(ids, "graph_id").withColumn("graph_id", F.col("_to")).drop("_to") for d in (graph.nodes, graph.edges))
+    return Graph(nodes, edges)
+
+
 def separated(graph: Graph, graph_id: int) -> Graph:
     """One graph of a union."""
     return Graph(graph.nodes.where(F.col("graph_id") == graph_id), graph.edges.where(F.col("graph_id") == graph_id))

@@ -255,6 +255,14 @@ def collated_graphs(spark, d):
     return collated([separated(g, lo), separated(g, hi)]).edges
 
 
+@query(USERS, "SELECT k.c AS graph_id, src, dst, weight FROM e JOIN (SELECT graph_id, CAST(row_number() OVER (ORDER BY graph_id) - 1 AS BIGINT) AS c FROM (SELECT DISTINCT graph_id FROM n)) k USING (graph_id)")
+def collated_graphs_whole(spark, d):
+    """The graphs of all users; collated_graphs is the pair that its SQL names."""
+    from .graph import renumbered
+
+    return renumbered(tables.transitions(spark, d)).edges
+
+
 @query(CHATS, "SELECT graph_id, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY x0, node_id) - 1 AS BIGINT) AS node_id, x0, x1 FROM n")
 def sort_nodes(spark, d):
     g = tables.conversations(spark, d)

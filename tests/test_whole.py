@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from pebblegraph import queries
+from pebblegraph.graph import Graph, renumbered
 from pebblegraph.queries import _DEGREE_SCORE, _DEGREE_SCORE_2, PARTS
 
 
@@ -108,3 +109,13 @@ def test_contraction_by_score(spark, tables, part_graph):
     nodes, edges, _ = part_graph
     matched = greedy_matching(sorted(edges, key=lambda p: (nodes[p[1]] - nodes[p[0]], p)))
     assert dict(rows(spark, tables, "ec_select_whole", "node_id", "cluster_id")) == clusters(nodes, matched)
+
+
+def test_all_graphs_of_a_table_are_collated(spark, tables):
+    nodes = spark.createDataFrame([(g, i, [0.0]) for g in (40, -3, 7) for i in range(3)] + [(9, 0, [1.0])], "graph_id long, node_id long, x array<double>")
+    edges = spark.createDataFrame([(g, 0, 1 + g % 2, float(g)) for g in (40, -3, 7)], "graph_id long, src long, dst long, weight double")
+    got = renumbered(Graph(nodes, edges))
+    assert sorted(map(tuple, got.edges.select("graph_id", "src", "dst", "weight").collect())) == [(0, 0, 2, -3.0), (1, 0, 2, 7.0), (3, 0, 1, 40.0)]
+    assert Counter(r["graph_id"] for r in got.nodes.collect()) == {0: 3, 1: 3, 2: 1, 3: 3}
+    users = duckdb.execute(f"SELECT count(DISTINCT user_id) FROM '{tables}/events.parquet'").fetchone()[0]
+    assert {g for g, in rows(spark, tables, "collated_graphs_whole", "graph_id")} == set(range(users))
