@@ -33,17 +33,20 @@ def _prefix(depth: int | Column) -> Column:
     return F.expr(f"shiftright(h, {BITS - depth})") if isinstance(depth, int) else F.call_function("shiftright", F.col("h"), (F.lit(BITS) - depth).cast("int"))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h (the key), n_bytes of each row."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """doc_id, h (the key), n_bytes of each row; keep: and the row itself, as a struct."""
     own = F.concat_ws(":", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.conv(F.substring(F.md5(own), 1, 15), 16, 10).cast("long").alias("h"), F.coalesce(F.octet_length(f"`{text_col}`"), F.lit(0)).cast("long").alias("n_bytes"))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.conv(F.substring(F.md5(own), 1, 15), 16, 10).cast("long").alias("h"), F.coalesce(F.octet_length(f"`{text_col}`"), F.lit(0)).cast("long").alias("n_bytes"), *([F.struct("*").alias("row")] if keep else []))
 
 
-def assigned(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h, n_bytes, shard (the bits of its prefix, and the page of equal rows if there is one), shard_bytes, oversize."""
+def assigned(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """doc_id, h, n_bytes, shard (the bits of its prefix, and the page of equal rows if there is one), shard_bytes, oversize.
+
+    keep: and row, the row itself.
+    """
     if limit < 1:
         raise ValueError("a shard holds a byte at least")
-    rows = written(keyed(docs, id_col, text_col), "keys")
+    rows = written(keyed(docs, id_col, text_col, keep), "keys")
     total = int(rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0])
     low, depth = 0, min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + STEP)
     active, parts = rows, []
@@ -64,27 +67,26 @@ def assigned(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_c
     for more in parts[1:]:
         every = every.unionByName(more)
     bits = F.when(F.col("d") == 0, F.lit("")).otherwise(F.expr("lpad(bin(q), d, '0')"))
-    placed = every.select("doc_id", "h", "n_bytes", bits.alias("shard"), F.col("bytes").alias("shard_bytes"), ((F.col("bytes") > limit) & (F.col("n") > 1)).alias("over"))
-    fit = placed.where("not over").select("doc_id", "h", "n_bytes", "shard", "shard_bytes", (F.col("n_bytes") > limit).alias("oversize"))
-    return fit.unionByName(_paged(placed.where("over"), limit))
+    own = ["doc_id", "h", "n_bytes", *(["row"] if keep else [])]
+    placed = every.select(*own, bits.alias("shard"), F.col("bytes").alias("shard_bytes"), ((F.col("bytes") > limit) & (F.col("n") > 1)).alias("over"))
+    fit = placed.where("not over").select(*own, "shard", "shard_bytes", (F.col("n_bytes") > limit).alias("oversize"))
+    return fit.unionByName(_paged(placed.where("over"), limit, own))
 
 
-def _paged(rows: DataFrame, limit: int) -> DataFrame:
+def _paged(rows: DataFrame, limit: int, own: list[str]) -> DataFrame:
     """Buckets of one key that exceed the limit: pages of equal rows, one row a page if a row exceeds it."""
     run = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.greatest(F.lit(1), F.ceil(F.col("shard_bytes") / F.greatest("n_bytes", F.lit(1)) / RUN)))
     number = F.row_number().over(Window.partitionBy("h", "run").orderBy("n_bytes")) - 1
     room = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1))))
     paged = rows.withColumn("run", run).withColumn("page", F.floor(number / room))
     size = F.sum("n_bytes").over(Window.partitionBy("h", "run", "page"))
-    return paged.select("doc_id", "h", "n_bytes", F.concat_ws("/", "shard", "run", "page").alias("shard"), size.alias("shard_bytes"), (F.col("n_bytes") > limit).alias("oversize"))
+    return paged.select(*own, F.concat_ws("/", "shard", "run", "page").alias("shard"), size.alias("shard_bytes"), (F.col("n_bytes") > limit).alias("oversize"))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """The documents under ``path``, one folder a shard. Equal rows share one shard's folder here."""
-    where = assigned(docs, limit, id_col, text_col).groupBy("h").agg(F.min("shard").alias("_shard"))
-    own = F.concat_ws(":", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    rows = docs.withColumn("_h", F.conv(F.substring(F.md5(own), 1, 15), 16, 10).cast("long"))
-    rows.join(where, F.col("_h") == F.col("h")).drop("_h", "h").withColumn("_shard", F.concat(F.lit("s"), F.translate("_shard", "/", "-"))).repartition("_shard").write.partitionBy("_shard").parquet(path)
+    """The documents under ``path``, one folder a shard, or a page of equal rows."""
+    rows = assigned(docs, limit, id_col, text_col, keep=True)
+    rows.select("row.*", F.concat(F.lit("s"), F.translate("shard", "/", "-")).alias("_shard")).repartition("_shard").write.partitionBy("_shard").parquet(path)
 
 
 def oracle(limit: int = LIMIT) -> str:

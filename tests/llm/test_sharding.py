@@ -69,6 +69,19 @@ def test_shards_as_folders(spark, tables, tmp_path):
     assert back.groupBy("_shard").agg({"text": "count"}).count() > 3
 
 
+def test_folders_of_equal_rows_hold_the_limit(spark, tmp_path):
+    same = spark.createDataFrame([(1, "x" * 100, i) for i in range(95)] + [(2, "y" * 500, 0)] * 3 + [(3, None, 1), (4, "z", 2)], "doc_id long, text string, other long")
+    sharding.write_shards(same, f"file://{tmp_path}/s", 450)
+    back = spark.read.parquet(f"file://{tmp_path}/s")
+    assert bag(back.select(same.columns).collect()) == bag(same.collect())
+    sizes, want = Counter(), Counter()
+    for r in back.collect():
+        sizes[r["_shard"]] += len(r["text"] or "")
+    for r in sharding.assigned(same, 450).collect():
+        want["s" + r["shard"].replace("/", "-")] += r["n_bytes"]
+    assert sizes == want and max(sizes.values()) == 500 and len(sizes) >= 27
+
+
 def test_no_python_in_the_plan(spark, tables):
     plan = sharding.assigned(spark.read.parquet(f"{tables}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
