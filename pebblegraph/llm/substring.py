@@ -1,4 +1,4 @@
-"""Removal of word passages that occur more than once in a corpus, exactly, whatever its size.
+"""Removal of word passages that occur more than once in a corpus, exactly but for hash collisions, whatever its size.
 
 A window is ``window`` words in a row. Every window whose words occur as a window anywhere else goes, judged on the input.
 
@@ -12,7 +12,8 @@ bit for those that it has twice itself; one task per range merges them and answe
 
 So what moves is the text once (all rounds read the same exchange), 8 bytes for each minimiser, 8 for each suspected window,
 and one bit back for each of them. A passage that a third of all documents share is one key of each block, so no task sees
-more of it than there are blocks. Windows are equal if both hashes, 128 bits, are.
+more of it than there are blocks. Windows count as equal if their 64-bit hashes do: the minimiser's answer says only that it
+occurs twice, not beside the same window, and both hashes come from one rolling sum. Words are not compared.
 
 Suffix automata of reference shards (``SuffixAutomaton``, ``reference_spans``) are the method for a reference of bounded
 size, such as a benchmark. For a corpus against itself every document would meet the automaton of every shard, which grows
