@@ -11,6 +11,8 @@ from pebblegraph import queries
 from pebblegraph.graph import Graph, renumbered
 from pebblegraph.queries import _DEGREE_SCORE, _DEGREE_SCORE_2, PARTS
 
+ROUNDS = {"kmis_degree_k1": 12, "kmis_degree_k2": 9, "kmis_canonical": 14, "matching_by_weight": 14, "graclus_select": 14, "graclus_pool": 14, "ec_select": 16}
+
 
 @pytest.fixture(scope="module")
 def part_graph(tables):
@@ -119,3 +121,16 @@ def test_all_graphs_of_a_table_are_collated(spark, tables):
     assert Counter(r["graph_id"] for r in got.nodes.collect()) == {0: 3, 1: 3, 2: 1, 3: 3}
     users = duckdb.execute(f"SELECT count(DISTINCT user_id) FROM '{tables}/events.parquet'").fetchone()[0]
     assert {g for g, in rows(spark, tables, "collated_graphs_whole", "graph_id")} == set(range(users))
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("name", sorted(ROUNDS))
+def test_the_last_round_of_the_sql_leaves_nothing(tables, name, sf):
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tables.replace('sf0.001', sf)}/{t}.parquet'")
+    steps, rounds = queries.oracle_sql()[name], ROUNDS[name]
+    assert f"l{rounds} AS" in steps and f"l{rounds + 1} AS" not in steps
+    left = steps[: steps.index(", z AS MATERIALIZED (")]
+    assert con.execute(f"{left} SELECT count(*) FROM l{rounds}").fetchone() == (0,)
+    assert con.execute(f"{left} SELECT count(*) FROM l0").fetchone()[0] > 0
