@@ -281,7 +281,7 @@ def generator_ring(spark, d):
 
 @query()
 def generator_csbm(spark, d):
-    return generators.csbm(spark, 16)[0].edges
+    return generators.csbm(spark)[0].edges
 
 
 # --- select ----------------------------------------------------------------------------------------------------------

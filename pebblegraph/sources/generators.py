@@ -105,7 +105,7 @@ def _connected(a: np.ndarray) -> bool:
         seen = more
 
 
-def csbm(spark: SparkSession, graphs: int = 64, per_class: int = 20, dbar: float = 6, lam: float = 1, gamma: float = 4, mu: float = 4, structured: float = 0.5, features: int = 4, seed: int = 80, attempts: int = 128) -> tuple[Graph, DataFrame]:
+def csbm(spark: SparkSession, graphs: int = 1024, per_class: int = 50, dbar: float = 10, lam: float = 1, gamma: float = 4, mu: float = 4, structured: float = 0.5, features: int = 4, seed: int = 80, attempts: int = 128) -> tuple[Graph, DataFrame]:
     """Graphs and labels: connected two-block models (1), and connected random graphs of the same degrees (0)."""
     n = 2 * per_class
     inside, outside = edge_probabilities(dbar, lam, n)
@@ -117,6 +117,8 @@ def csbm(spark: SparkSession, graphs: int = 64, per_class: int = 20, dbar: float
             a = a | a.T
             if _connected(a):
                 break
+        else:
+            raise RuntimeError(f"no connected two-block graph in {attempts} attempts")
         y = int(r.random() < structured)
         if not y:  # swaps of edge pairs keep the degrees and lose the blocks
             for _ in range(attempts):
@@ -131,6 +133,8 @@ def csbm(spark: SparkSession, graphs: int = 64, per_class: int = 20, dbar: float
                 if _connected(b):
                     a = b
                     break
+            else:
+                raise RuntimeError(f"no connected random graph of these degrees in {attempts} attempts")
         x = np.sqrt(mu / n) * side[:, None] * r.standard_normal(features)[None, :] / np.sqrt(features) * gamma + r.standard_normal((n, features)) / np.sqrt(features)
         return a, x, y
 

@@ -9,6 +9,7 @@ import pytest
 
 from pebblegraph import queries
 from pebblegraph.graph import Graph, renumbered
+from pebblegraph.sources import generators
 from pebblegraph.queries import _DEGREE_SCORE, _DEGREE_SCORE_2, PARTS
 
 ROUNDS = {"kmis_degree_k1": 12, "kmis_degree_k2": 9, "kmis_canonical": 14, "matching_by_weight": 14, "graclus_select": 14, "graclus_pool": 14, "ec_select": 16}
@@ -134,3 +135,9 @@ def test_the_last_round_of_the_sql_leaves_nothing(tables, name, sf):
     left = steps[: steps.index(", z AS MATERIALIZED (")]
     assert con.execute(f"{left} SELECT count(*) FROM l{rounds}").fetchone() == (0,)
     assert con.execute(f"{left} SELECT count(*) FROM l0").fetchone()[0] > 0
+
+
+def test_generated_graphs_are_connected_or_refused(spark, tables):
+    with pytest.raises(Exception, match="no connected two-block graph in 3 attempts"):
+        generators.csbm(spark, 2, 20, 0.2, 0.1, attempts=3)[0].edges.collect()
+    assert queries.queries()["generator_csbm"](spark, tables).select("graph_id").distinct().count() == 1024
