@@ -2,147 +2,143 @@
 
 The pre-tokeniser never joins a character that is not white space with white space that follows it, so a text may be cut
 there. Texts are cut before each space, unless a space follows other white space; such a text is encoded as it is. Arrow
-cuts the texts of a slice and numbers their distinct words; words that are not cached are encoded many at a time, in one
-string, and told apart by the bytes that each id stands for; numpy puts the words' ids together. So the ids are those of
-the library in every case.
+cuts the texts of a slice, numbers their distinct words and finds those that are cached; the others are encoded many at a
+time, in one string, and told apart by the bytes that each id stands for; numpy puts the words' ids together. So the ids are
+those of the library in every case.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Two words with a line's end between them.
-LINE_END = re.compile(r"(\S+)\n(\S+)")
-#: After letters below U+0250, these are encoded on their own.
-TAILS = ",.;:!?|"
+#: Words that are encoded as one string.
+RUN = 128
 
 
 class ByteBpe:
-    """``encode(texts)`` yields the ids of each text as little-endian unsigned 32-bit bytes.
+    """``flat(texts)`` yields the ids of some texts at a time and where each one ends, ``encode(texts)`` each text's ids.
 
     ``special_as_text``: strings of special tokens inside a text are ordinary text, as they are in documents.
-    ``cached``: words that are kept at most; after that, new words are encoded anew each time.
+    ``cached``: words that are kept at most, if a slice had them twice; all others are encoded anew each time.
     """
 
-    def __init__(self, path: str, special_as_text: bool = True, cached: int = 600_000) -> None:
+    def __init__(self, path: str, special_as_text: bool = True, cached: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.special_as_text = special_as_text
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.largest = max(vocabulary.values())
+        self.bytes_of = np.zeros(self.largest + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)  # one character a byte
         self.cached = cached
-        self.words: dict[str, bytes] = {}
-        self.tails = dict(zip(TAILS, self._each(list(TAILS))))
-        self.line_end = self._each(["\n"])[0]
-
-    def _each(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def _joined(self, parts: list[str]) -> list[bytes]:
-        """Parts that are one white space and then none."""
-        out: list[bytes] = []
-        for i in range(0, len(parts), 4096):
-            some = parts[i : i + 4096]
-            runs = ["".join(some[j : j + 64]) for j in range(0, len(some), 64)]
-            ids = np.array([k for x in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False) for k in x.ids], dtype="<u4")
-            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(p.encode()) for p in some])) + 1
-            raw, at = ids.tobytes(), 0
-            for end in ends.tolist():
-                out.append(raw[4 * at : 4 * end])
-                at = end
-        return out
-
-    def _new(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of a space and each of these; they hold no space."""
-        words, out, lines, odd, pairs = self.words, {}, set(), [], {}
-        broken = {w for w in missing if "\n" in w}
-        spaced = missing - broken
-        if " ".join(spaced).split() != list(spaced):  # empty, or other white space inside
-            odd = [w for w in spaced if len(w.split()) != 1 or w[0].isspace() or w[-1].isspace()]
-            spaced.difference_update(odd)
-        for w in broken:
-            if m := LINE_END.fullmatch(w):
-                pairs[w] = m.groups()
-                spaced.add(m[1])
-                lines.add(m[2])
-            else:
-                odd.append(w)
-        stems = {w: w[:-1] for w in spaced if w[-1] in self.tails and w not in words and w[:-1].isalpha() and (w.isascii() or max(w) < "ɐ")}
-        plain = [w for w in (spaced - stems.keys()).union(stems.values()) if w not in words]
-        after = list(lines)
-        found = self._joined([f" {w}" for w in plain] + [f"\n{w}" for w in after])
-        out.update(zip(plain, found))
-        of_line = dict(zip(after, found[len(plain) :]))
-        out.update((w, (words.get(s) or out[s]) + self.tails[w[-1]]) for w, s in stems.items())
-        out.update((w, (words.get(a) or out[a]) + of_line[b]) for w, (a, b) in pairs.items())
-        out.update(zip(odd, self._each([f" {w}" for w in odd])))
-        return out
-
-    def _some(self, texts: pa.Array) -> list[bytes]:
+        # the cached words, their ids one after the other, and each one's number of ids
+        self.words, self.ids, self.size = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one after the other, and each one's number of ids."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
+
+    def _new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of a space and each of these words; none is empty or ends in white space."""
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        names = words.to_pylist()
+        ids, _ = self._each([" " + " ".join(names[i : i + RUN]) for i in range(0, len(names), RUN)])
+        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(np.asarray(pc.binary_length(words)) + 1)) + 1
+        return ids, np.diff(ends, prepend=0)
+
+    def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = pc.split_pattern(texts, " ")
         offsets = np.asarray(parts.offsets)
         base = int(offsets[0])
         coded = parts.values.slice(base, int(offsets[-1]) - base).dictionary_encode()
         offsets = offsets - base
-        at, names = np.array(coded.indices), coded.dictionary.to_pylist()
-        words = self.words
-        got = list(map(words.get, names))
-        new = [k for k, g in enumerate(got) if g is None]
+        at, names = np.array(coded.indices, np.int64), coded.dictionary
+        place = np.asarray(pc.fill_null(pc.index_in(names, value_set=self.words), -1)).astype(np.int64)
+        first, last = offsets[:-1], offsets[1:] - 1
         # a part that is empty or ends in white space, and is not a text's last, or its first if it is empty
+        missing = np.nonzero(place < 0)[0]
+        fresh = names.take(pa.array(missing))
+        is_bad = np.asarray(pc.match_substring_regex(fresh, r"(^|[\s\v\x1c-\x1f\x{85}\p{Z}])$"))
         bad = np.zeros(len(names), bool)
-        bad[[k for k in new if not names[k] or names[k][-1].isspace()]] = True
-        first, last = offsets[:-1], offsets[1:] - 1
+        bad[missing[is_bad]] = True
         odd = bad[at]
         odd[last] = False
-        empty = names.index("") if "" in names else -1
+        empty = pc.index(names, "").as_py()
         odd[first[at[first] == empty]] = False
         whole = np.nonzero(np.add.reduceat(odd, first))[0] if len(at) else np.zeros(0, int)
         if not self.special_as_text:
             whole = np.union1d(whole, np.nonzero(np.asarray(pc.match_substring(texts, "<|")))[0])
-        extra = self._new({names[k] for k in new})
-        for k in new:
-            got[k] = extra[names[k]]
-        room = self.cached - len(words)
-        if room > 0:
-            words.update([(names[k], got[k]) for k in new if not bad[k] and len(names[k]) <= 40][:room])
-        # heads have no space before them; a text that is not cut is all head
-        heads = [names[i] for i in at[first].tolist()]
+        # heads have no space before them; a text that is not cut is all head; a last part that is bad is encoded alone
+        heads = names.take(pa.array(at[first])).to_pylist()
         for k in whole.tolist():
             heads[k] = texts[k].as_py()
-            at[first[k] : last[k] + 1] = len(names)
-        got.append(b"")
-        table = got + self._each(heads)
-        at[first] = len(got) + np.arange(len(first))
-        ids = np.frombuffer(b"".join(table), "<u4")
-        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        tails = np.setdiff1d(at[last[last > first]], missing[~is_bad])
+        tails = tails[bad[tails]]
+        good = missing[~is_bad]
+        plain = self._new(fresh.filter(pa.array(~is_bad)))
+        found = [(self.ids, self.size), plain, self._each([f" {w}" for w in names.take(pa.array(tails)).to_pylist()]), (np.zeros(0, np.uint32), np.zeros(1, np.int64)), self._each(heads)]
+        known = len(self.size)
+        place[good] = known + np.arange(len(good))
+        place[tails] = known + len(good) + np.arange(len(tails))
+        none = known + len(good) + len(tails)
+        row = place[at]
+        for k in whole.tolist():
+            row[first[k] : last[k] + 1] = none
+        row[first] = none + 1 + np.arange(len(first))
+        ids, size = (np.concatenate(x) for x in zip(*found))
         start = np.cumsum(size) - size
-        n = size[at]
+        n = size[row]
         end = np.cumsum(n)
-        out = ids[np.repeat(start[at] - (end - n), n) + np.arange(end[-1] if len(end) else 0)].tobytes()
-        stop = end[last].tolist()
-        return [out[4 * i : 4 * j] for i, j in zip([0, *stop], stop)]
-
-    def encode(self, texts: pa.Array | Iterable[str | None], at_once: int = 4_000_000) -> Iterator[bytes]:
-        """The ids of each text in order; texts of about ``at_once`` bytes are held at a time. Null counts as empty."""
+        out = ids[np.repeat(start[row] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        self._keep(names, good, plain, np.bincount(at, minlength=len(names))[good] > 1)
+        return out, end[last]
+
+    def _keep(self, names: pa.Array, which: np.ndarray, found: tuple[np.ndarray, np.ndarray], twice: np.ndarray) -> None:
+        room = self.cached - len(self.words)
+        if room <= 0:
+            return
+        short = np.asarray(pc.binary_length(names.take(pa.array(which)))) <= 40
+        some = np.nonzero(twice & short)[0][:room]
+        kept = np.zeros(len(which), bool)
+        kept[some] = True
+        ids, size = found
+        self.words = pa.concat_arrays([self.words, names.take(pa.array(which[some]))])
+        self.ids = np.concatenate([self.ids, ids[np.repeat(kept, size)]])
+        self.size = np.concatenate([self.size, size[some]])
+
+    def flat(self, texts: pa.Array | Iterable[str | None], at_once: int = 8_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of some texts in order (unsigned, 32 bits), and where each text ends in them. Null counts as empty.
+
+        Texts of about ``at_once`` bytes are held at a time.
+        """
         column = texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.string())
         column = pc.fill_null(column, "")
         ends = np.cumsum(np.asarray(pc.binary_length(column)))
         i = 0
         while i < len(column):
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + at_once, side="right")))
-            yield from self._some(column.slice(i, j - i))
+            yield self._some(column.slice(i, j - i))
             i = j
 
+    def encode(self, texts: pa.Array | Iterable[str | None], at_once: int = 8_000_000) -> Iterator[bytes]:
+        """The ids of each text in order, as little-endian unsigned 32-bit bytes."""
+        for ids, ends in self.flat(texts, at_once):
+            out, start = ids.astype("<u4", copy=False).tobytes(), 0
+            for end in ends.tolist():
+                yield out[4 * start : 4 * end]
+                start = end
+
 
 _MADE: dict[tuple, ByteBpe] = {}
 

@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,7 +55,17 @@ def test_a_cut_text_and_an_empty_one():
     own = byte_bpe.ByteBpe(byte_bpe.default_path())
     texts = ["x y", "a  .,1\tab", "a .,1\tab  ", ".,1\tab", " "]
     assert list(own.encode(texts)) == [np.array(x.ids, "<u4").tobytes() for x in own.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    assert own._new({"", ".,1\tab"}).keys() == {"", ".,1\tab"}
+    ids, size = own._new(pa.array([".,1\tab", "x"]))
+    want = [own.tokenizer.encode(f" {w}", add_special_tokens=False).ids for w in (".,1\tab", "x")]
+    assert ids.tolist() == sum(want, []) and size.tolist() == [len(w) for w in want]
+
+
+def test_cached_words_keep_their_ids():
+    own = byte_bpe.ByteBpe(byte_bpe.default_path(), cached=3)
+    texts = ["a b b c c", "d d b c e e", "e d c b a", " b", "c "]
+    for _ in range(2):
+        assert list(own.encode(texts, 12)) == [np.array(x.ids, "<u4").tobytes() for x in own.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert len(own.words) == len(own.size) == 3
 
 
 @settings(max_examples=150, deadline=None)
@@ -149,6 +160,11 @@ def test_token_files_of_odd_rows(spark, tmp_path, tokenizer):
     whole = {r["doc_id"]: r["ids"] for r in token_files.decoded(spark.read.parquet(path)).where("doc_id in (10, 11, 12)").collect()}
     assert whole == {r["doc_id"]: ids_of(tokenizer, r["text"]) for r in docs.where("doc_id in (10, 11, 12)").collect()}
     assert len(whole[10]) // 4 > LONG
+    same = documents(spark).where("doc_id = 12").select("doc_id", "text").crossJoin(spark.range(50).select())
+    token_files.write_tokens(same, f"{path}1", segment_ids=100)
+    each = {r["start"]: r["n_tokens"] for r in token_files.read_tokens(spark, f"{path}1").collect()}
+    size = next(iter(each.values()))
+    assert each == {i * size: size for i in range(50)}
     token_files.write_tokens(empty(spark), f"{path}2")
     assert token_files.read_tokens(spark, f"{path}2").count() == 0
 
