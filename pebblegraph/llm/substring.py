@@ -1,19 +1,23 @@
-"""Removal of word passages that occur more than once in a corpus, exactly but for hash collisions, whatever its size.
+"""Removal of word passages that occur more than once in a corpus, whatever its size.
 
 A window is ``window`` words in a row. Every window whose words occur as a window anywhere else goes, judged on the input.
 
-The corpus is dealt into blocks of a few MB by a hash of the row, and questions of the form "which of my 64-bit keys does
-any other place hold?" are asked of all blocks at once: a block sends its distinct keys, sorted and cut by key range, with a
-bit for those that it has twice itself; one task per range merges them and answers with a bit for each key. Two rounds:
+The corpus is dealt into blocks of a few MB by a hash of the row, and questions of the form "which of my keys does any other
+place hold?" are asked of all blocks at once: a block sends its distinct keys, sorted and cut by their top bits, with a flag
+for those that it has twice itself; one task per range of keys merges them and answers with a flag for each key. Two rounds:
 
 1. Each window has a minimiser, the ``gram``-word shingle with the least hash in it; equal windows have equal minimisers.
-   Blocks ask about their minimisers, a twelfth of their words.
-2. Blocks ask about their windows whose minimiser occurs twice, by a hash of the whole window.
-
-So what moves is the text once (all rounds read the same exchange), 8 bytes for each minimiser, 8 for each suspected window,
-and one bit back for each of them. A passage that a third of all documents share is one key of each block, so no task sees
-more of it than there are blocks. Windows count as equal if their 64-bit hashes do: the minimiser's answer says only that it
-occurs twice, not beside the same window, and both hashes come from one rolling sum. Words are not compared.
+   Blocks ask about their minimisers, a twelfth of their words, by 64 bits.
+2. Blocks ask about their windows whose minimiser occurs twice, by 128 bits: two rolling sums over the two halves of each
+   word's XXH3.
+
+Windows count as equal if these 128 bits are; words are not compared, so the result is exact but for a collision of 128 bits
+(for n windows, n^2 in 2^129 cases). What moves is the text once (all rounds read the same exchange), 9 bytes for each
+minimiser, 17 for each suspected window, and a byte back for each of them. They move in one row for each range that a block
+has keys in, never more rows than keys: in a corpus of over 10^5 ranges nearly each minimiser is a row of its own, and some
+50 bytes of row come on top. A block looks at its own keys only, so its work does not grow with the number of ranges. A
+passage that a third of all documents share is one key of each block, so no task sees more of it than there are blocks. Rows
+that are equal in all columns share a block.
 
 Suffix automata of reference shards (``SuffixAutomaton``, ``reference_spans``) are the method for a reference of bounded
 size, such as a benchmark. For a corpus against itself every document would meet the automaton of every shard, which grows
@@ -29,6 +33,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,29 +44,28 @@ GRAM = 12
 #: Bytes of text in a block and for each key range, on average.
 BLOCK_BYTES = 4 << 20
 RANGE_BYTES = 16 << 20
-_STEP = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
+_STEPS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
 
 class _Hashes(dict):
-    """XXH64 of words."""
+    """XXH3 of words, 16 bytes each."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         import xxhash
 
-        found = self[word] = xxhash.xxh64_intdigest(word)
+        found = self[word] = xxhash.xxh3_128_digest(word)
         return found
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int, half: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2^64, and their inverses."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        for name, base in (("up", _STEP), ("down", pow(_STEP, -1, 1 << 64))):
-            steps = np.full(size, np.uint64(base))
+    for down in (False, True):
+        if len(_POWERS.get((half, down), ())) < n:
+            steps = np.full(max(1 << 16, 1 << (n - 1).bit_length()), np.uint64(pow(_STEPS[half], -1, 1 << 64) if down else _STEPS[half]))
             steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+            _POWERS[half, down] = np.multiply.accumulate(steps)
+    return _POWERS[half, False][:n], _POWERS[half, True][:n]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -71,6 +75,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Keys:
+    """Distinct keys in order (one column each 64 bits), which of them came twice, and each given key's place among them."""
+
+    def __init__(self, *columns: np.ndarray) -> None:
+        order = np.argsort(columns[0])
+        columns_ = [c[order] for c in columns]
+        same = columns_[0][1:] == columns_[0][:-1]
+        if any((same & (c[1:] != c[:-1])).any() for c in columns_[1:]):  # equal in the first 64 bits only
+            order = np.lexsort(columns[::-1])
+            columns_ = [c[order] for c in columns]
+            same = np.logical_and.reduce([c[1:] == c[:-1] for c in columns_])
+        first = np.concatenate([np.ones(min(1, len(order)), bool), ~same])
+        start = np.nonzero(first)[0]
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.cumsum(first) - 1
+        self.columns = [c[start] for c in columns_]
+        self.twice = np.diff(start, append=len(order)) > 1
+
+
 class Block:
     """Hashes of the words, windows and minimisers of some texts."""
 
@@ -78,16 +101,15 @@ class Block:
         self.words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         self.size = np.array([len(w) for w in self.words], dtype=np.int64)
         n, of = int(self.size.sum()), _Hashes()
-        hashes = np.fromiter((h for w in self.words for h in map(of.__getitem__, w)), np.uint64, n)
+        halves = np.frombuffer(b"".join([h for w in self.words for h in map(of.__getitem__, w)]), "<u8").reshape(n, 2)
         self.window = window
-        up, self.down = _powers(n + 1)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:n], dtype=np.uint64)])
+        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(halves[:, half] * _powers(n + 1, half)[0][:n], dtype=np.uint64)]) for half in (0, 1)]
         left = np.repeat(np.cumsum(self.size), self.size) - np.arange(n)  # words from here to the document's end
         self.at = np.nonzero(left >= window)[0]  # where windows start
         self.least = np.zeros(0, np.int64)
-        self.keys = np.zeros(0, np.uint64)
+        grams = np.zeros(0, np.uint64)
         if len(self.at):
-            grams = self._hash(np.arange(n - gram + 1), gram)
+            grams = self._hash(np.arange(n - gram + 1), gram, 0)
             # the least hash, and of equal ones the first: 32 bits of hash above 32 bits of place
             low = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
             span, width = window - gram + 1, 1
@@ -97,77 +119,80 @@ class Block:
             if width < span:
                 low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
             self.least = (low[self.at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            self.keys = grams
-
-    def _hash(self, at: np.ndarray, length: int) -> np.ndarray:
-        return _mixed((self.sums[at + length] - self.sums[at]) * self.down[at])
+        # a minimiser's place, and for each window which of them is its own
+        places = np.unique(self.least)
+        self.minimisers = Keys(grams[places])
+        self.own = self.minimisers.place[np.searchsorted(places, self.least)]
 
-    def minimisers(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct minimiser hashes, and whether the block has each at two places."""
-        return _distinct(self.keys[np.unique(self.least)])
+    def _hash(self, at: np.ndarray, length: int, half: int) -> np.ndarray:
+        sums, down = self.sums[half], _powers(len(self.sums[half]), half)[1]
+        return _mixed((sums[at + length] - sums[at]) * down[at])
 
     def suspects(self, shared: np.ndarray) -> np.ndarray:
-        """Starts of the windows whose minimiser is shared. shared: a flag for each of minimisers()."""
-        keys = self.minimisers()[0]
-        return self.at[shared[np.searchsorted(keys, self.keys[self.least])]] if len(self.at) else self.at
+        """Starts of the windows whose minimiser is shared. shared: a flag for each of the minimisers."""
+        return self.at[shared[self.own]]
 
-    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _distinct(self._hash(at, self.window))
+    def windows(self, at: np.ndarray) -> Keys:
+        return Keys(*(self._hash(at, self.window, half) for half in (0, 1)))
 
-    def covered(self, at: np.ndarray, shared: np.ndarray) -> np.ndarray:
-        """A flag for each word of the block. at: the suspects; shared: a flag for each of windows(at)."""
+    def covered(self, at: np.ndarray, keys: Keys, shared: np.ndarray) -> np.ndarray:
+        """A flag for each word of the block. at: the suspects; keys: windows(at); shared: a flag for each of them."""
         n = int(self.size.sum())
         edge = np.zeros(n + 1, np.int64)
-        if len(at):
-            hashes = self._hash(at, self.window)
-            gone = at[shared[np.searchsorted(np.unique(hashes), hashes)]]
-            edge[gone] += 1
-            edge[gone + self.window] -= 1
+        gone = at[shared[keys.place]]
+        edge[gone] += 1
+        edge[gone + self.window] -= 1
         return np.cumsum(edge)[:n] > 0
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, count = np.unique(keys, return_counts=True)
-    return found, count > 1
+_ASK = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("twice", pa.binary())])
+_TELL = pa.schema([("block", pa.int64()), ("round", pa.int32()), ("part", pa.int32()), ("shared", pa.binary())])
 
 
-def _cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Places in the sorted keys where each range starts, and the end."""
-    edges = np.array([(i << 64) // ranges for i in range(1, ranges)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Rows of values; ends: where each one ends."""
+    values = np.ascontiguousarray(values)
+    edge = np.concatenate([[0], ends]) * (values.nbytes // max(1, len(values)))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.array(edge, pa.int32()).buffers()[1], pa.py_buffer(values)])
 
 
-_ASK = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("twice", pa.binary())])
-_TELL = pa.schema([("block", pa.int64()), ("round", pa.int32()), ("part", pa.int32()), ("shared", pa.binary())])
+def _raw(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' bytes, one after the other, and each row's number of bytes."""
+    parts, sizes = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    for c in column.chunks:
+        if len(c):
+            edge = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8)[edge[0] : edge[-1]])
+            sizes.append(np.diff(edge).astype(np.int64))
+    return np.concatenate(parts), np.concatenate(sizes)
 
 
-def _asked(block: int, keys: np.ndarray, twice: np.ndarray, ranges: int) -> pa.Table:
-    cut = _cuts(keys, ranges)
-    parts = [i for i in range(ranges) if cut[i] < cut[i + 1]]
-    return pa.table([pa.array(parts, pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([keys[cut[i] : cut[i + 1]].tobytes() for i in parts], pa.binary()), pa.array([np.packbits(twice[cut[i] : cut[i + 1]]).tobytes() for i in parts], pa.binary())], schema=_ASK)
+def _asked(block: int, keys: Keys, bits: int) -> pa.Table:
+    """One row for each range (the top ``bits`` of a key) that has keys of the block."""
+    first = keys.columns[0]
+    part = (first >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(first), np.int32)
+    ends = np.concatenate([np.nonzero(part[1:] != part[:-1])[0] + 1, [len(part)]]) if len(part) else np.zeros(0, np.int64)
+    flat = np.column_stack(keys.columns)
+    return pa.table([pa.array(part[ends - 1], pa.int32()), pa.array(np.full(len(ends), block), pa.int64()), _binary(flat, ends), _binary(keys.twice, ends)], schema=_ASK)
 
 
 def _answered(number: int):
     def merge(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-        _, which, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        shared, at, out = count[which] > 1, 0, []
-        for r, k in zip(rows, keys):
-            twice = np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=len(k)).astype(bool)
-            out.append(np.packbits(shared[at : at + len(k)] | twice).tobytes())
-            at += len(k)
-        return pa.table([pa.array([r["block"] for r in rows], pa.int64()), pa.array([number] * len(rows), pa.int32()), pa.array([r["part"] for r in rows], pa.int32()), pa.array(out, pa.binary())], schema=_TELL)
+        (keys, _), (twice, size) = _raw(table["keys"]), _raw(table["twice"])
+        keys = keys.view(np.uint64).reshape(len(twice), -1)
+        found = Keys(*(np.ascontiguousarray(keys[:, k]) for k in range(keys.shape[1])))
+        shared = found.twice[found.place] | twice.view(bool)
+        return pa.table([table["block"], pa.array(np.full(len(size), number), pa.int32()), table["part"], _binary(shared, np.cumsum(size))], schema=_TELL)
 
     return merge
 
 
-def _flags(answers: pa.Table, number: int, keys: np.ndarray, ranges: int) -> np.ndarray:
-    cut, out = _cuts(keys, ranges), np.zeros(len(keys), bool)
-    for r in answers.to_pylist():
-        if r["round"] == number:
-            a, b = cut[r["part"]], cut[r["part"] + 1]
-            out[a:b] = np.unpackbits(np.frombuffer(r["shared"], np.uint8), count=b - a)
+def _flags(answers: pa.Table, number: int, keys: Keys) -> np.ndarray:
+    """A flag for each key: the answers in the order of their ranges."""
+    own = answers.filter(pa.compute.equal(answers["round"], number)).sort_by("part")
+    out = _raw(own["shared"])[0].view(bool)
+    if len(out) != len(keys.twice):
+        raise RuntimeError(f"{len(out)} answers to {len(keys.twice)} questions")
     return out
 
 
@@ -181,7 +206,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
     spark = docs.sparkSession
     small_batches(spark)
     _, size = text_bytes(docs, text_col)
-    blocks, ranges = max(1, size // block_bytes), max(1, size // range_bytes)
+    blocks, bits = max(1, size // block_bytes), min(30, max(0, size // range_bytes - 1).bit_length())
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*rest).alias("row") if rest else F.struct(F.lit(0).alias("_")).alias("row"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("row", "text"), F.lit(blocks)))
@@ -190,20 +215,21 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
     ask, tell = "part int, block long, keys binary, twice binary", "block long, round int, part int, shared binary"
 
     def first(table: pa.Table) -> pa.Table:
-        return _asked(table["block"][0].as_py(), *Block(table["text"].to_pylist(), window, gram).minimisers(), ranges)
+        return _asked(table["block"][0].as_py(), Block(table["text"].to_pylist(), window, gram).minimisers, bits)
 
     def second(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _ASK.empty_table()
         block = Block(table["text"].to_pylist(), window, gram)
-        at = block.suspects(_flags(answers, 1, block.minimisers()[0], ranges))
-        return _asked(table["block"][0].as_py(), *block.windows(at), ranges)
+        at = block.suspects(_flags(answers, 1, block.minimisers))
+        return _asked(table["block"][0].as_py(), block.windows(at), bits)
 
     def third(table: pa.Table, answers: pa.Table) -> pa.Table:
         texts = table["text"].to_pylist()
         block = Block(texts, window, gram)
-        at = block.suspects(_flags(answers, 1, block.minimisers()[0], ranges))
-        gone = block.covered(at, _flags(answers, 2, block.windows(at)[0], ranges))
+        at = block.suspects(_flags(answers, 1, block.minimisers))
+        keys = block.windows(at)
+        gone = block.covered(at, keys, _flags(answers, 2, keys))
         ends = np.cumsum(block.size)
         removed, start = [], 0
         for k, (words, end) in enumerate(zip(block.words, ends.tolist())):

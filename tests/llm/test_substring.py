@@ -4,6 +4,9 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from helpers import bag, documents, empty, words
@@ -57,6 +60,40 @@ def test_a_window_that_every_document_has(spark):
     held_against(spark, [f"own{i} " + SHARED + f" end{i} " + " ".join(words(40, 100 + i, 10**6)) for i in range(200)], block_bytes=2000, range_bytes=2000)
 
 
+def plan_of(texts, window, gram, bits) -> list[list[bool]]:
+    """The two rounds without Spark: each text is a block of its own."""
+    blocks = [substring.Block([t], window, gram) for t in texts]
+
+    def told(number, keys):
+        asked = pa.concat_tables([substring._asked(i, k, bits) for i, k in enumerate(keys)])
+        answers = [substring._answered(number)(asked.filter(pa.compute.equal(asked["part"], p))) for p in set(asked["part"].to_pylist())]
+        answers = pa.concat_tables(answers or [substring._TELL.empty_table()])
+        return [substring._flags(answers.filter(pa.compute.equal(answers["block"], i)), number, k) for i, k in enumerate(keys)]
+
+    at = [b.suspects(f) for b, f in zip(blocks, told(1, [b.minimisers for b in blocks]))]
+    keys = [b.windows(a) for b, a in zip(blocks, at)]
+    return [b.covered(a, k, f).tolist() for b, a, k, f in zip(blocks, at, keys, told(2, keys))]
+
+
+@pytest.mark.parametrize("bits", [0, 3, 20, 30])
+@pytest.mark.parametrize("short", [(), (0,), (1,)])
+def test_either_half_of_a_window_may_collide(monkeypatch, bits, short):
+    """With only 4 bits of one half of the window's hash left, the other half still tells windows apart."""
+    whole = substring.Block._hash
+    monkeypatch.setattr(substring.Block, "_hash", lambda self, at, length, half: whole(self, at, length, half) & np.uint64(0xF << 60 if half in short and length == 35 else (1 << 64) - 1))
+    texts = [" ".join(words(700, i, 3)) + " " + SHARED for i in range(6)] + [" ".join(words(300, 50 + i, 10**6) + words(12, 7) + words(40, 60 + i, 10**6)) for i in range(8)]
+    assert plan_of(texts, 35, 12, bits) == [gone for _, gone in plain(texts, 35)]
+
+
+def test_work_of_a_block_does_not_grow_with_the_ranges():
+    keys = substring.Keys(np.random.default_rng(1).integers(0, 1 << 64, 58_000, np.uint64))
+    for bits in (0, 10, 16, 20, 30):
+        asked = substring._asked(3, keys, bits)
+        part = asked["part"].to_numpy()
+        assert len(np.unique(part)) == len(part) <= min(1 << bits, 58_000)
+        assert b"".join(asked["keys"].to_pylist()) == keys.columns[0].tobytes()
+
+
 def test_the_query_equals_brute_force(spark, tables):
     rows = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text").collect()
     want = {}
