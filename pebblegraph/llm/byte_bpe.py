@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .word_cache import WordCache, gathered, slices
+
 #: Words that are encoded as one string.
 RUN = 128
 
@@ -38,9 +40,7 @@ class ByteBpe:
         self.bytes_of = np.zeros(self.largest + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)  # one character a byte
-        self.cached = cached
-        # the cached words, their ids one after the other, and each one's number of ids
-        self.words, self.ids, self.size = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.kept = WordCache(cached)
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts, one after the other, and each one's number of ids."""
@@ -64,7 +64,7 @@ class ByteBpe:
         coded = parts.values.slice(base, int(offsets[-1]) - base).dictionary_encode()
         offsets = offsets - base
         at, names = np.array(coded.indices, np.int64), coded.dictionary
-        place = np.asarray(pc.fill_null(pc.index_in(names, value_set=self.words), -1)).astype(np.int64)
+        place = self.kept.places(names)
         first, last = offsets[:-1], offsets[1:] - 1
         # a part that is empty or ends in white space, and is not a text's last, or its first if it is empty
         missing = np.nonzero(place < 0)[0]
@@ -87,8 +87,8 @@ class ByteBpe:
         tails = tails[bad[tails]]
         good = missing[~is_bad]
         plain = self._new(fresh.filter(pa.array(~is_bad)))
-        found = [(self.ids, self.size), plain, self._each([f" {w}" for w in names.take(pa.array(tails)).to_pylist()]), (np.zeros(0, np.uint32), np.zeros(1, np.int64)), self._each(heads)]
-        known = len(self.size)
+        found = [(self.kept.ids, self.kept.size), plain, self._each([f" {w}" for w in names.take(pa.array(tails)).to_pylist()]), (np.zeros(0, np.uint32), np.zeros(1, np.int64)), self._each(heads)]
+        known = len(self.kept)
         place[good] = known + np.arange(len(good))
         place[tails] = known + len(good) + np.arange(len(tails))
         none = known + len(good) + len(tails)
@@ -96,27 +96,10 @@ class ByteBpe:
         for k in whole.tolist():
             row[first[k] : last[k] + 1] = none
         row[first] = none + 1 + np.arange(len(first))
-        ids, size = (np.concatenate(x) for x in zip(*found))
-        start = np.cumsum(size) - size
-        n = size[row]
-        end = np.cumsum(n)
-        out = ids[np.repeat(start[row] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
-        self._keep(names, good, plain, np.bincount(at, minlength=len(names))[good] > 1)
+        out, end = gathered(*(np.concatenate(x) for x in zip(*found)), row)
+        self.kept.keep(names.take(pa.array(good)), *plain, np.bincount(at, minlength=len(names))[good])
         return out, end[last]
 
-    def _keep(self, names: pa.Array, which: np.ndarray, found: tuple[np.ndarray, np.ndarray], twice: np.ndarray) -> None:
-        room = self.cached - len(self.words)
-        if room <= 0:
-            return
-        short = np.asarray(pc.binary_length(names.take(pa.array(which)))) <= 40
-        some = np.nonzero(twice & short)[0][:room]
-        kept = np.zeros(len(which), bool)
-        kept[some] = True
-        ids, size = found
-        self.words = pa.concat_arrays([self.words, names.take(pa.array(which[some]))])
-        self.ids = np.concatenate([self.ids, ids[np.repeat(kept, size)]])
-        self.size = np.concatenate([self.size, size[some]])
-
     def flat(self, texts: pa.Array | Iterable[str | None], at_once: int = 8_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of some texts in order (unsigned, 32 bits), and where each text ends in them. Null counts as empty.
 
@@ -124,12 +107,8 @@ class ByteBpe:
         """
         column = texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.string())
         column = pc.fill_null(column, "")
-        ends = np.cumsum(np.asarray(pc.binary_length(column)))
-        i = 0
-        while i < len(column):
-            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + at_once, side="right")))
+        for i, j in slices(column, at_once):
             yield self._some(column.slice(i, j - i))
-            i = j
 
     def encode(self, texts: pa.Array | Iterable[str | None], at_once: int = 8_000_000) -> Iterator[bytes]:
         """The ids of each text in order, as little-endian unsigned 32-bit bytes."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import struct
 import zlib
 from collections import defaultdict
 
@@ -65,7 +66,7 @@ def test_cached_words_keep_their_ids():
     texts = ["a b b c c", "d d b c e e", "e d c b a", " b", "c "]
     for _ in range(2):
         assert list(own.encode(texts, 12)) == [np.array(x.ids, "<u4").tobytes() for x in own.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    assert len(own.words) == len(own.size) == 3
+    assert len(own.kept) == len(own.kept.size) == 3
 
 
 @settings(max_examples=150, deadline=None)
@@ -94,6 +95,91 @@ def test_piece_digests_over_the_table(spark, tables, pieces):
         assert got[r["doc_id"]] == (len(ids), zlib.crc32(ids.tobytes()), True)
 
 
+def field(number: int, value) -> bytes:
+    """A field of a protocol buffer."""
+
+    def varint(v: int) -> bytes:
+        out = bytearray()
+        while v > 127:
+            out.append(v & 127 | 128)
+            v >>= 7
+        return bytes([*out, v])
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def model_file(path, merges: bool, pieces, rules=b"") -> str:
+    """A model of (piece, score, kind) without training. rules: more fields of the normaliser."""
+    kinds = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    data = b"".join(field(1, field(1, p.encode()) + field(2, float(s)) + field(3, k)) for p, s, k in [*kinds, *pieces])
+    trainer = field(3, 2 if merges else 1) + (field(35, 1) if any(k == 6 for *_, k in pieces) else b"")
+    path.write_bytes(data + field(2, trainer) + field(3, field(1, b"own") + rules))
+    return str(path)
+
+
+BYTES = [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+#: Without its character map, spaces kept.
+KEEP_SPACES = field(4, 0)
+UNIGRAMS = [(p, -1.0 - 0.37 * i, 1) for i, p in enumerate(["▁", "a", "b", "c", "ab", "ba", "▁a", "▁ab", "abc", "cab", "bb", "aa", "▁▁", "é", "日本", "b▁a", "d"])]
+
+
+def folding() -> bytes:
+    """The character map that the original has built in for its widest rule."""
+    import sentencepiece
+
+    found = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc_cf").serialized_model_proto()
+    return next(value for number, value in piece_fst._fields(next(v for n, v in piece_fst._fields(found) if n == 3)) if number == 2)
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+@pytest.mark.parametrize("spaces", ["kept", "squeezed", "folded", "bare"])
+@pytest.mark.parametrize("kind", ["unigram", "user", "merges"])
+def test_ids_of_models_made_here(tmp_path, kind, spaces, fallback):
+    import sentencepiece
+
+    if kind == "merges" and spaces == "bare":
+        return
+    rules = {"kept": KEEP_SPACES, "squeezed": b"", "folded": field(2, folding()), "bare": field(3, 0) + KEEP_SPACES}[spaces]
+    if kind == "merges":
+        pieces = [(p, -float(i), 1) for i, p in enumerate(["ab", "▁a", "aa", "▁ab", "abc", "ba", "▁▁", "bab", "abab", "▁▁a"])] + [(p, -50.0 - i, 1) for i, p in enumerate("▁abcé")]
+    else:
+        pieces = UNIGRAMS + ([("AB", 0.0, 4), ("bab", 0.0, 4)] if kind == "user" else [])
+    path = model_file(tmp_path / "m.model", kind == "merges", pieces + (BYTES if fallback else []), rules)
+    own, sp = piece_fst.PieceFst(path, cached=20), sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(1)
+    letters = "aaabbbcc   dé日本ABﬁ①½\u00a0\u3000\tÅÄ¡x"
+    texts = ["", " ", "   ", "a", " a ", "a  b", *("".join(r.choice(letters) for _ in range(r.randint(1, 30))) for _ in range(400)), "ab" * 300 + " c" * 100]
+    want = [sp.encode(t) for t in texts]
+    for at_once in (50, 10**6):
+        got = [part.tolist() for ids, ends in own.flat(texts, at_once) for part in np.split(ids, ends[:-1])]
+        assert [(t, g) for t, g in zip(texts, got)] == list(zip(texts, want))
+    if fallback:
+        for t, ids in zip(texts, want):
+            assert own.decode(np.array(ids, "<u4").tobytes()) == sp.decode(ids), t
+
+
+def test_models_that_are_refused(tmp_path):
+    path = tmp_path / "m.model"
+    merges = [("a", 0.0, 1), ("▁", 0.0, 1)]
+    for made, why in [((True, [*merges, ("b", 0.0, 4)]), "user"), ((True, [*merges, ("a▁a", 0.0, 1)]), "over words"), ((True, merges, field(3, 0)), "in front"), ((False, merges, field(5, 0)), "mark spaces")]:
+        with pytest.raises(ValueError, match=why):
+            piece_fst.PieceFst(model_file(path, *made))
+
+
+def test_long_words_take_the_same_path(pieces):
+    own = piece_fst.piece_fst(piece_fst.default_path())
+    r = random.Random(3)
+    for n in (62, 63, 64, 65, 500):
+        text = "".join(r.choice("etaoinshrdlu日é") for _ in range(n))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == pieces.encode(text)
+        symbol, place = own._path(piece_fst.MARK + text)
+        assert own._emitted(symbol, piece_fst._codes(piece_fst.MARK + text)[place])[0].tolist() == pieces.encode(text)
+
+
 def test_piece_odd_rows(spark):
     docs = documents(spark)
     got = piece_fst.digests(docs).collect()
