@@ -13,19 +13,49 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Scratch folders that this process has made, the oldest first.
+_MADE: list[str] = []
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one, of a local session only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='pebblegraph-')}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    """A path, and the file system that holds it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the driver's JVM ends, or with released()."""
+    made = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, path = _folder(spark, made)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    _MADE.append(made)
+    return f"{made}/data"
+
+
+def made_so_far() -> int:
+    """A mark for released()."""
+    return len(_MADE)
+
+
+def released(spark: SparkSession, mark: int) -> None:
+    """Delete the scratch folders made since the mark, but for the last one, which holds what came of the others."""
+    for made in _MADE[mark:-1]:
+        fs, path = _folder(spark, made)
+        fs.delete(path, True)
+    del _MADE[mark:-1]
 
 
 def small_batches(spark: SparkSession, size: str = "8m") -> None:

@@ -3,8 +3,8 @@
 A version's text is a blob, known by its SHA-256. The ledger is a table of (rule_version, blob, spans): one row for each blob
 that those rules have seen, with or without findings. A scan keeps one row of each blob, drops the blobs that the ledger
 has under the rules' version, scans the rest, appends them to the ledger, and joins findings back to all rows by blob. So a
-text that thousands of paths hold is scanned once, and a later call scans new texts only. An append commits as a whole or
-not at all.
+text that thousands of paths hold is scanned once, and a later call scans new texts only. Writers of one ledger that run at the same
+time, or an append that is repeated, may leave a blob there twice, with the same spans; findings are joined back once.
 
 Places: matches and the gaps between them come from regexp_extract_all and split; one row each, a running sum of their
 lengths in code points gives start and end (exclusive), in the partitions that the blobs already have.
@@ -78,7 +78,7 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: list[tuple[str, str,
     if seen is not None:
         blobs = blobs.join(seen.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
     scanned(blobs, rules).withColumn("rule_version", F.lit(version)).write.mode("append").partitionBy("rule_version").parquet(ledger)
-    findings = _ledger(docs, ledger).where(F.col("rule_version") == version).where(F.size("spans") > 0).select("blob", "spans")
+    findings = _ledger(docs, ledger).where(F.col("rule_version") == version).where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
     return versions.join(findings, "blob", "left").select("row", "text", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 

@@ -1,11 +1,12 @@
 """SimHash near-duplicates: fingerprints, exact links at a small Hamming distance, and their components.
 
 Fingerprints are embedded segment by segment: a segment is two bits, its coordinate is its popcount, so a fingerprint is a
-point of {0, 1, 2}^32, held two bits a coordinate. A flipped bit moves one coordinate by one, so the Manhattan distance of
-two points is at most their Hamming distance. The range join at Manhattan distance 3 or less runs over a grid: the 32
+point of {0, 1, 2}^32, held two bits a coordinate as 00, 01 and 11, so that the Manhattan distance of two points is the number
+of bits in which they differ. A flipped bit of a fingerprint moves one coordinate by one, so that distance is at most the
+Hamming distance. The range join at Manhattan distance 3 or less runs over a grid: the 32
 coordinates are dealt into six blocks; three moves leave at least three blocks as they are; each choice of three blocks is
 one grid, whose cell is the point's coordinates there. Points within reach share a cell of one of the 20 grids. Inside a
-cell, the fingerprints themselves are compared.
+cell, the points' Manhattan distances are taken first, and the fingerprints of those within reach are compared.
 
 Equal fingerprints are one point, so a group of copies of any size is one row here. Cells with one point end before the
 comparison. Cells with many points are cut into chunks of bounded size, and each pair of chunks is compared on its own;
@@ -47,9 +48,23 @@ def _masks() -> list[int]:
 
 
 def embedded(fp: Column) -> Column:
-    """Popcounts of the 32 two-bit segments, each in its own two bits."""
+    """Popcounts of the 32 two-bit segments, each in its own two bits: 00, 01 or 11."""
     low, high = fp.bitwiseAND(F.lit(0x5555555555555555)), F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(0x5555555555555555))
-    return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+    return low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+
+
+def points_of(fp: np.ndarray) -> np.ndarray:
+    """The same of an array of fingerprints."""
+    even = np.uint64(0x5555555555555555)
+    low, high = fp & even, fp >> np.uint64(1) & even
+    return low | high | (low & high) << np.uint64(1)
+
+
+def _near(fp: np.ndarray, point: np.ndarray, a: np.ndarray, b: np.ndarray | int, distance: int) -> np.ndarray:
+    """Those of the rows a that are linked to the rows b: Manhattan distance of the points first, then the fingerprints."""
+    b = np.broadcast_to(b, a.shape)
+    some = np.nonzero(np.bitwise_count(point[a] ^ point[b]) <= distance)[0]
+    return a[some[np.bitwise_count(fp[a[some]] ^ fp[b[some]]) <= distance]]
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
@@ -70,7 +85,7 @@ def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, k1 and k2 (hashes of id and text that know a row), fp (the fingerprint as a signed long) of each row."""
+    """doc_id, k1 and k2 (hashes that know a row), fp (the fingerprint as a signed long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,9 +98,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``row`` (a struct of all columns), and two hashes of id and text."""
+    """``row`` (a struct of all columns), and two hashes of id, text and all other columns but maps, which have no order."""
     i, t = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(i, t).alias("k1"), F.xxhash64(t, i, F.lit(1)).alias("k2"))
+    others = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name not in (id_col, text_col) and "map<" not in f.dataType.simpleString()]
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(i, t, *others).alias("k1"), F.xxhash64(t, i, F.lit(1), *others).alias("k2"))
 
 
 def _forest(a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -94,7 +110,7 @@ def _forest(a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[np.ndarra
     points = a if same else np.concatenate([a, b])
     side = np.zeros(len(points), bool)
     side[len(a) :] = not same
-    left, out = np.ones(len(points), bool), []
+    left, out, embedding = np.ones(len(points), bool), [], points_of(points)
     for start in range(len(points)):
         if not left[start]:
             continue
@@ -103,7 +119,7 @@ def _forest(a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[np.ndarra
         while todo:
             at = todo.pop()
             rest = np.nonzero(left if same else left & (side != side[at]))[0]
-            near = rest[np.bitwise_count(points[rest] ^ points[at]) <= distance]
+            near = _near(points, embedding, rest, at, distance)
             if len(near):
                 left[near] = False
                 out.append((np.full(len(near), points[at]), points[near]))
@@ -118,7 +134,8 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
         head = rows[:, :4]
         start = np.concatenate([[0], np.nonzero((head[1:] != head[:-1]).any(axis=1))[0] + 1, [len(rows)]])
         size = np.diff(start)
-        fp = rows[:, 5].view(np.uint64)
+        fp = np.ascontiguousarray(rows[:, 5]).view(np.uint64)
+        point = points_of(fp)
         # small groups all at once: each row against the k-th row after it
         group = np.repeat(np.arange(len(size)), size)
         small = size <= 24
@@ -127,7 +144,7 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
         while len(live):
             live = live[live + k < len(rows)]
             live = live[group[live + k] == group[live]]
-            near = live[np.bitwise_count(fp[live] ^ fp[live + k]) <= distance]
+            near = _near(fp, point, live, live + k, distance)
             yield fp[near], fp[near + k]
             k += 1
         for g in np.nonzero(~small)[0]:

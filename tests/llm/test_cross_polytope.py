@@ -80,3 +80,14 @@ def test_odd_vectors_link_with_nothing(spark):
     assert cross_polytope.near_duplicates(df.where("false")).count() == 0
     twice = cross_polytope.near_duplicates(df.where("vec_id = 12").union(df.where("vec_id = 12"))).collect()
     assert [tuple(r) for r in twice] == [(12, 1, 12, True)] * 2
+
+
+def test_repeated_null_ids_and_long_vectors(spark):
+    r = np.random.default_rng(8)
+    long = r.normal(size=(4, 5000))
+    long[1] = long[0] + 0.01 * r.normal(size=5000)
+    short = r.normal(size=3).tolist()
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(long)] + [(None, short, 2)] * 3 + [(None, None, None)] * 2
+    got = sorted(cross_polytope.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect(), key=repr)
+    assert sorted((x["vec_id"] is None, x["n_links"]) for x in got) == [(False, 0), (False, 0), (False, 1), (False, 1), (True, 0), (True, 0), (True, 2), (True, 2), (True, 2)]
+    assert {x["vec_id"]: x["component_id"] for x in got if x["vec_id"] is not None} == {0: 0, 1: 0, 2: 2, 3: 3}

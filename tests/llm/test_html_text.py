@@ -1,9 +1,9 @@
 from __future__ import annotations
 
-from itertools import product
-
 import math
 import random
+from html.parser import HTMLParser
+from itertools import product
 
 import pytest
 
@@ -63,6 +63,51 @@ def test_deep_and_broken_pages(model):
     assert html_text.main_text(f"<article><p>{long}</p></article>", model) == long.strip()
 
 
+class Article(HTMLParser):
+    """Blocks of text in the article element, without what is never text, by the standard library's parser."""
+
+    INLINE = {"a", "b", "i", "em", "strong", "span", "code", "sub", "sup", "u", "small"}
+    HIDDEN = {"script", "style", "form", "nav", "aside", "footer", "header"}
+
+    def __init__(self, html: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.inside, self.hidden, self.blocks = 0, 0, [""]
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.hidden += tag in self.HIDDEN
+        if tag not in self.INLINE:
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.hidden -= tag in self.HIDDEN
+        if tag not in self.INLINE:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside and not self.hidden:
+            self.blocks[-1] += data
+
+    def text(self) -> str:
+        return "\n".join(b for b in (" ".join(b.split()) for b in self.blocks) if b)
+
+
+def test_the_query_gives_the_article_of_every_page(spark, tables):
+    tables = tables.replace("sf0.001", "sf0.01")
+    want = {r["page_id"]: Article(r["html"] or "").text() for r in spark.read.parquet(f"{tables}/pages.parquet").collect()}
+    got = {r["page_id"]: r["text"] for r in queries.op2_html(spark, tables).collect()}
+    assert got == want
+
+
+def test_a_very_long_page_through_a_table(spark):
+    long = "A sentence of words, and more. " * 30_000
+    pages = spark.createDataFrame([(1, "u", f"<body><nav><a href=/>x</a></nav><article><p>{long}</p>" + "<p>One more.</p>" * 3000 + "</article></body>")], "page_id long, url string, html string")
+    assert html_text.extract(pages).first()["text"] == "\n".join([long.strip(), *["One more."] * 3000])
+
+
 def test_query_and_odd_rows(spark, tables):
     pages = spark.read.parquet(f"{tables}/pages.parquet")
     got = queries.op2_html(spark, tables).collect()

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline
-from helpers import documents, empty
+from helpers import bag, documents, empty
 from pebblegraph.llm import quality, secret_scan, simhash
 from test_secret_scan import base_spans
 from test_simhash import plain_fingerprint, plain_groups
@@ -90,3 +90,6 @@ def test_odd_rows_pass_through_each_stage(spark, tables):
         assert stage(spark, empty(spark), tables).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, empty(spark), tables).count() == 0
     assert simhash.deduplicated(docs).count() < docs.count()
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, tables)
+    ends = pieces.where("start + length = doc_tokens")
+    assert ends.count() == docs.count() and bag(ends.select("doc_id").collect()) == bag(docs.select("doc_id").collect())

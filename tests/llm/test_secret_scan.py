@@ -81,3 +81,11 @@ def test_redaction_replaces_what_counts(spark):
     docs = spark.createDataFrame([(1, "a password=abcdef b"), (2, "a password=abc b"), (3, None), (4, "token=abcdef token=ghijkl")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in secret_scan.redacted(docs).collect()}
     assert got == {1: f"a {secret_scan.MARK} b", 2: "a password=abc b", 3: None, 4: f"{secret_scan.MARK} {secret_scan.MARK}"}
+
+
+def test_a_blob_that_two_writers_have_scanned_is_joined_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "token=abcdef"), (2, "password=ghijkl"), (3, "none")], "doc_id long, text string")
+    ledger = f"file://{tmp_path}/twice"
+    first = bag(secret_scan.scan(docs, ledger).select("row.doc_id", "spans").collect())
+    spark.read.parquet(ledger).write.mode("append").partitionBy("rule_version").parquet(ledger)
+    assert bag(secret_scan.scan(docs, ledger).select("row.doc_id", "spans").collect()) == first and sum(first.values()) == 3

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -36,10 +37,11 @@ def test_the_embedding_bounds_the_distance_from_below(spark):
     values += [v ^ sum(1 << r.randrange(64) for _ in range(3)) for v in values]
     df = spark.createDataFrame([(simhash._signed(v),) for v in values], "fp long")
     got = [x[0] & (1 << 64) - 1 for x in df.select(simhash.embedded(df["fp"])).collect()]
-    coordinates = lambda p: [p >> 2 * i & 3 for i in range(32)]
+    assert got == simhash.points_of(np.array(values, np.uint64)).tolist()
+    coordinates = lambda p: [{0: 0, 1: 1, 3: 2}[p >> 2 * i & 3] for i in range(32)]
     assert [coordinates(g) for g in got] == [[(v >> 2 * i & 3).bit_count() for i in range(32)] for v in values]
     for a, b, x, y in zip(values, values[1:], got, got[1:]):
-        assert sum(abs(p - q) for p, q in zip(coordinates(x), coordinates(y))) <= (a ^ b).bit_count()
+        assert sum(abs(p - q) for p, q in zip(coordinates(x), coordinates(y))) == (x ^ y).bit_count() <= (a ^ b).bit_count()
 
 
 @pytest.mark.parametrize("chunk", [8, 8192])
@@ -99,3 +101,9 @@ def test_one_document_of_each_group_stays(spark):
     assert {r["_k1"] for r in rows} == {9}, "a column of the table with a name that the operator uses inside"
     assert not bag(rows) - bag(docs.collect())
     assert simhash.deduplicated(empty(spark)).count() == 0
+
+
+def test_of_rows_equal_in_id_and_text_the_same_one_stays(spark):
+    rows = [(1, "a text of some words", f"s{i}") for i in range(20)] + [(2, "another text of some words", None)]
+    kept = [simhash.deduplicated(spark.createDataFrame(some, "doc_id long, text string, source string").repartition(5)).collect() for some in (rows, rows[::-1])]
+    assert bag(kept[0]) == bag(kept[1]) and len(kept[0]) == 2
