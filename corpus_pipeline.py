@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pebblegraph.llm import packing, quality, secret_scan, simhash, substring
-from pebblegraph.llm.common import written
+from pebblegraph.llm.common import made_so_far, released, written
 
 
 def _documents(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -53,8 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's result is written before the next one reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows; each stage's result is written before the next one reads it, and then what went before is deleted."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), made_so_far()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        released(spark, mark)
     return STAGES[-1][1](spark, docs, sf_dir)

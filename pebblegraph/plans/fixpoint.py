@@ -13,7 +13,10 @@ def cut(df: DataFrame) -> DataFrame:
     """The table, written to the shared checkpoint folder, so that its lineage ends here and lost executors do no harm."""
     spark: SparkSession = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pebblegraph-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="pebblegraph-"))
     return df.checkpoint()
 
 
