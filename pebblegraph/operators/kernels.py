@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from heapq import heapify, heappop, heappush
 from math import log2
 
 import numpy as np
@@ -13,6 +14,13 @@ from pyspark.sql import functions as F
 from ..graph import w_or_1
 
 ASSIGN = "graph_id long, node_id long, cluster_id long, weight double"
+#: Nodes of a graph that a task may hold as a dense matrix (0.8 GB).
+LARGEST = 10_000
+
+
+def _fits(key: tuple, n: int) -> None:
+    if n > LARGEST:
+        raise ValueError(f"graph {key[0]} has {n} nodes; this kernel holds a dense matrix of {LARGEST} at most: use an operator made of joins (kmis, graclus, topk, eliminated)")
 
 
 def _per_graph(nodes: DataFrame, edges: DataFrame, run: Callable, schema: str) -> DataFrame:
@@ -23,6 +31,7 @@ def _per_graph(nodes: DataFrame, edges: DataFrame, run: Callable, schema: str) -
         ids = np.sort(n["node_id"].to_numpy().astype(np.int64))
         if not len(ids):
             return pd.DataFrame({c: [] for c in names})
+        _fits(key, len(ids))
         a = np.zeros((len(ids), len(ids)))
         np.add.at(a, (np.searchsorted(ids, e["src"].to_numpy().astype(np.int64)), np.searchsorted(ids, e["dst"].to_numpy().astype(np.int64))), e["weight"].to_numpy().astype(float))
         cols = run(ids, a)
@@ -98,6 +107,7 @@ def kron(nodes: DataFrame, edges: DataFrame, kept: DataFrame, threshold: float =
     def kernel(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         n = n.sort_values("node_id")
         ids, cluster = n["node_id"].to_numpy().astype(np.int64), n["cluster_id"]
+        _fits(key, len(ids))
         a = np.zeros((len(ids), len(ids)))
         np.add.at(a, (np.searchsorted(ids, e["src"].to_numpy().astype(np.int64)), np.searchsorted(ids, e["dst"].to_numpy().astype(np.int64))), e["weight"].to_numpy().astype(float))
         np.fill_diagonal(a, 0)
@@ -234,17 +244,14 @@ class CodingTree:
         """The root, after merging and squeezing to ``height`` levels of edges."""
         near = {i: {int(j): float(self.a[i, j]) for j in np.nonzero(self.a[i])[0] if j != i} for i in range(self.n)}
         top, new = set(range(self.n)), self.n
+        pairs = [(self._gain(i, j, w), i, j, w) for i in near for j, w in near[i].items() if i < j]
+        heapify(pairs)
         while len(top) > 1:
-            best = None
-            for i in sorted(top):
-                for j, w in near[i].items():
-                    if i < j:
-                        gain = self._gain(i, j, w)
-                        if best is None or (gain, i, j) < best[:3]:
-                            best = (gain, i, j, w)
-            if best is None:
+            while pairs and not {pairs[0][1], pairs[0][2]} <= top:
+                heappop(pairs)  # one of the two has been merged since
+            if not pairs:
                 break
-            _, i, j, w = best
+            _, i, j, w = heappop(pairs)
             self._join([i, j], new, self.cut[i] + self.cut[j] - 2 * w)
             merged: dict[int, float] = {}
             for old in (i, j):
@@ -255,6 +262,7 @@ class CodingTree:
             near[new] = merged
             for k, v in merged.items():
                 near[k][new] = v
+                heappush(pairs, (self._gain(k, new, v), k, new, v))
             top -= {i, j}
             top.add(new)
             new += 1

@@ -11,6 +11,15 @@ from ..plans.fixpoint import ranked
 REDUCERS = {"sum": F.sum, "add": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "mul": F.product}
 
 
+def softmaxed(rows: DataFrame, value: Column, keys: list[str], name: str) -> DataFrame:
+    """Softmax of ``value`` within groups of any size, as a new column: maxima and sums are aggregated and joined back."""
+    v = rows.withColumn("_v", value)
+    top = v.groupBy(*keys).agg(F.max("_v").alias("_top"))
+    e = v.join(top, keys).withColumn("_e", F.exp(F.col("_v") - F.col("_top")))
+    total = v.join(top, keys).groupBy(*keys).agg(F.sum(F.exp(F.col("_v") - F.col("_top"))).alias("_sum"))
+    return e.join(total, keys).withColumn(name, F.col("_e") / F.col("_sum")).drop("_v", "_top", "_e", "_sum")
+
+
 def degree(nodes: DataFrame, edges: DataFrame, by: str = "dst", weighted: bool = True) -> DataFrame:
     """graph_id, node_id, degree of every node: edges (or their weights) that end (by dst) or start (by src) there."""
     value = F.sum(w_or_1()) if weighted else F.count(F.lit(1)).cast("double")
@@ -61,6 +70,12 @@ def delta_gcn(nodes: DataFrame, edges: DataFrame, delta: float = 2.0) -> DataFra
     return coalesced(off.unionByName(diagonal), "sum")
 
 
+def delta_gcn_attributes(nodes: DataFrame, edges: DataFrame, dims: int, delta: float = 2.0) -> DataFrame:
+    """delta_gcn() of edges with a column ``attr`` (array of ``dims``): attributes of equal edges add up, new loops have zeros."""
+    kept = remove_self_loops(edges).groupBy("graph_id", "src", "dst").agg(F.array(*(F.sum(F.col("attr")[i]) for i in range(dims))).alias("attr"))
+    return delta_gcn(nodes, edges, delta).join(kept, ["graph_id", "src", "dst"], "left").withColumn("attr", F.coalesce("attr", F.array_repeat(F.lit(0.0), dims)))
+
+
 def degree_normed(edges: DataFrame, by: str = "src") -> DataFrame:
     """w / (sqrt d_src sqrt d_dst); degrees are sums by ``by``, at least EPS."""
     e = _with_degrees(edges, by)
@@ -122,6 +137,30 @@ def negative_edges(nodes: DataFrame, edges: DataFrame, per_graph: int, order: st
     return out.union(out.select("graph_id", F.col("dst"), F.col("src"))) if force_undirected else out
 
 
+def sampling_plan(nodes: DataFrame, edges: DataFrame, wanted: int, low: float = 0.5, high: float = 2 / 3) -> DataFrame:
+    """graph_id, share (of ordered pairs that are no edges), method, tries, for ``wanted`` pairs of each graph without an edge.
+
+    Below ``low`` guesses would mostly fail, so all pairs are listed (dense); up to ``high`` half as many guesses more than
+    wanted are made, and beyond it as many as the share asks for.
+    """
+    n = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n"))
+    e = remove_self_loops(edges).select("graph_id", "src", "dst").distinct().groupBy("graph_id").agg(F.count(F.lit(1)).alias("_e"))
+    pairs = F.greatest(F.col("_n") * (F.col("_n") - 1), F.lit(1))
+    p = n.join(e, "graph_id", "left").withColumn("share", 1 - F.coalesce("_e", F.lit(0)) / pairs)
+    tries = F.when(F.col("share") <= high, F.lit(int(1.5 * wanted))).otherwise(F.floor(wanted / F.col("share")))
+    return p.select("graph_id", "share", F.when(F.col("share") < low, "dense").otherwise("sparse").alias("method"), F.when(F.col("share") < low, F.col("_n") * (F.col("_n") - 1)).otherwise(tries).cast("long").alias("tries"))
+
+
+def chosen_negative_edges(nodes: DataFrame, edges: DataFrame, per_graph: int, seed: int = 0) -> DataFrame:
+    """Pairs that are no edges: all pairs are listed in graphs that are mostly edges, and guessed in the others."""
+    dense = sampling_plan(nodes, edges, per_graph).where("method = 'dense'").select("graph_id")
+    listed = negative_edges(nodes.join(dense, "graph_id", "left_semi"), edges, per_graph, "hash", seed)
+    rest = nodes.join(dense, "graph_id", "left_anti")
+    guessed = sampled_negative_edges(rest, edges, per_graph, seed)
+    few = ranked(guessed, ["graph_id"], [F.xxhash64(F.lit(seed), "src", "dst"), F.col("src"), F.col("dst")], "_r", spread=True).where(F.col("_r") < per_graph)
+    return listed.unionByName(few.select("graph_id", "src", "dst"))
+
+
 def sampled_negative_edges(nodes: DataFrame, edges: DataFrame, per_node: int, seed: int = 0) -> DataFrame:
     """About ``per_node`` hashed guesses for each node, without edges, loops and repeats: linear in the nodes."""
     numbered = ranked(nodes.select("graph_id", "node_id"), ["graph_id"], [F.col("node_id")], "_i", spread=True)

@@ -26,12 +26,16 @@ SIMPLE: dict[str, Callable[..., Column]] = {
     "quantile": lambda c, q=0.5: F.percentile(c, F.lit(float(q))),
     "variance_preserving": lambda c: F.sum(c) / F.sqrt(F.count(c)),
 }
-#: The lower median: the middle one, or the lower of the middle two.
-SIMPLE["median"] = lambda c: F.element_at(F.array_sort(F.collect_list(c)), F.floor((F.count(c) + 1) / 2).cast("int"))
+#: The lower median: the middle one, or the lower of the middle two. Counts of distinct values are merged, no list is made.
+SIMPLE["median"] = lambda c: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{c}`)")
 ALIASES = {"add": "sum", "average": "mean", "minimum": "min", "maximum": "max", "prod": "mul", "product": "mul", "variance": "var", "standarddeviation": "std", "powermean": "power_mean", "variancepreserving": "variance_preserving", "degreescaler": "degree_scaler", "deepsets": "deep_sets", "multiaggregation": "multi", "aggr": "sum"}
 OTHER = ("softmax", "sort", "degree_scaler", "multi", "deep_sets", "mlp", "attentional", "lstm", "gru", "set2set")
 
 
+def _of(name: str, column: str, **options) -> Column:
+    return SIMPLE[name](column if name == "median" else F.col(column), **options)
+
+
 def resolve(alias: str) -> str:
     """The name that an alias stands for; case, spaces, dashes and a trailing word "aggregation" do not matter."""
     key = re.sub(r"[\s_-]", "", alias.lower()).removesuffix("aggregation")
@@ -47,14 +51,16 @@ def _weighted(nodes: DataFrame, assign: DataFrame, dims: int) -> DataFrame:
     return n.join(assign, ["graph_id", "node_id"]).select("graph_id", "node_id", "cluster_id", *((F.col("weight") * F.col(f"x{i}")).alias(f"x{i}") for i in range(dims)))
 
 
-def aggregated(rows: DataFrame, keys: list[str], dims: int, op: str = "sum", **options) -> DataFrame:
-    """keys, x of rows with columns x0.. and node_id."""
+def aggregated(rows: DataFrame, keys: list[str], dims: int, op: str | Callable[..., DataFrame] = "sum", **options) -> DataFrame:
+    """keys, x of rows with columns x0.. and node_id. op: a name, or the caller's own function of (rows, keys, dims)."""
+    if callable(op):
+        return op(rows, keys, dims, **options)
     name, cols = resolve(op), [f"x{i}" for i in range(dims)]
     if name in SIMPLE:
-        return rows.groupBy(*keys).agg(F.array(*(SIMPLE[name](F.col(c), **options) for c in cols)).alias("x"))
+        return rows.groupBy(*keys).agg(F.array(*(_of(name, c, **options) for c in cols)).alias("x"))
     if name == "softmax":
-        t, w = options.get("t", 1.0), Window.partitionBy(*keys)
-        scaled = rows.withColumns({f"_m{i}": F.max(t * F.col(c)).over(w) for i, c in enumerate(cols)})
+        t = options.get("t", 1.0)
+        scaled = rows.join(rows.groupBy(*keys).agg(*(F.max(t * F.col(c)).alias(f"_m{i}") for i, c in enumerate(cols))), keys)
         e = [F.exp(t * F.col(c) - F.col(f"_m{i}")) for i, c in enumerate(cols)]
         return scaled.groupBy(*keys).agg(F.array(*(F.sum(F.col(c) * v) / F.sum(v) for c, v in zip(cols, e))).alias("x"))
     if name == "sort":
@@ -63,12 +69,12 @@ def aggregated(rows: DataFrame, keys: list[str], dims: int, op: str = "sum", **o
         return r.groupBy(*keys).agg(F.array(*(F.coalesce(F.max(F.when(F.col("_r") == j, F.col(c))), F.lit(0.0)) for j in range(1, k + 1) for c in cols)).alias("x"))
     if name == "multi":
         ops = [resolve(o) for o in options.get("ops", ["sum", "mean", "max"])]
-        return rows.groupBy(*keys).agg(F.array(*(SIMPLE[o](F.col(c)) for o in ops for c in cols)).alias("x"))
+        return rows.groupBy(*keys).agg(F.array(*(_of(o, c) for o in ops for c in cols)).alias("x"))
     if name == "degree_scaler":
         ops, delta = [resolve(o) for o in options.get("ops", ["mean", "max"])], float(options.get("delta", 1.0))
         log = F.log(F.count(F.lit(1)) + 1.0)
         scale = {"identity": F.lit(1.0), "amplification": log / delta, "attenuation": delta / log, "linear": F.count(F.lit(1)) / delta, "inverse_linear": delta / F.count(F.lit(1))}
-        return rows.groupBy(*keys).agg(F.array(*(SIMPLE[o](F.col(c)) * scale[s] for s in options.get("scalers", ["identity", "amplification", "attenuation"]) for o in ops for c in cols)).alias("x"))
+        return rows.groupBy(*keys).agg(F.array(*(_of(o, c) * scale[s] for s in options.get("scalers", ["identity", "amplification", "attenuation"]) for o in ops for c in cols)).alias("x"))
     if name in ("deep_sets", "mlp"):
         inner, outer, f = options["inner"], options["outer"], activation(options.get("act", "relu"))
         x = F.array(*cols)
@@ -76,9 +82,8 @@ def aggregated(rows: DataFrame, keys: list[str], dims: int, op: str = "sum", **o
         s = hidden.groupBy(*keys).agg(F.array(*(F.sum(f"h{j}") for j in range(len(inner[0])))).alias("h"))
         return s.select(*keys, F.array(*(dot(F.col("h"), [row[j] for row in outer]) for j in range(len(outer[0])))).alias("x"))
     if name == "attentional":
-        w = Window.partitionBy(*keys)
         g = rows.withColumn("_g", dot(F.array(*cols), options["gate"]))
-        g = g.withColumn("_e", F.exp(F.col("_g") - F.max("_g").over(w)))
+        g = g.join(g.groupBy(*keys).agg(F.max("_g").alias("_m")), keys).withColumn("_e", F.exp(F.col("_g") - F.col("_m")))
         return g.groupBy(*keys).agg(F.array(*(F.sum(F.col("_e") * F.col(c)) / F.sum("_e") for c in cols)).alias("x"))
     return _sequence(rows, keys, dims, name, **options)
 

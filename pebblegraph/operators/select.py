@@ -7,18 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import activation, dot, mlp, segment_softmax, softmax, stick_breaking
+from ..functions.columns import activation, affine, dot, mlp, segment_softmax, softmax, stick_breaking
 from ..graph import w_or_1
 from ..plans.fixpoint import cut, ranked, unioned, until_empty
-from .ops import degree, remove_self_loops, undirected
+from .convolve import weighted_sum
+from .ops import degree, remove_self_loops, softmaxed, undirected
 
 ASSIGN = "graph_id long, node_id long, cluster_id long, weight double"
 
 
-def from_labels(labels: DataFrame) -> DataFrame:
-    """assign from (graph_id, node_id, label): cluster ids are the ranks of the labels in their graph."""
+def from_labels(labels: DataFrame, spread: bool = False) -> DataFrame:
+    """assign from (graph_id, node_id, label): cluster ids are the ranks of the labels in their graph.
+
+    A column ``weight`` of the labels is carried, else weights are 1. spread: see ranked().
+    """
+    weight = F.col("weight") if "weight" in labels.columns else F.lit(1.0).alias("weight")
+    if spread:
+        ids = ranked(labels.select("graph_id", "label").distinct(), ["graph_id"], [F.col("label")], "cluster_id", True)
+        return labels.join(ids, ["graph_id", "label"]).select("graph_id", "node_id", "cluster_id", weight)
     rank = F.dense_rank().over(Window.partitionBy("graph_id").orderBy("label")).cast("long") - 1
-    return labels.select("graph_id", "node_id", rank.alias("cluster_id"), F.lit(1.0).alias("weight"))
+    return labels.select("graph_id", "node_id", rank.alias("cluster_id"), weight)
 
 
 def identity(nodes: DataFrame) -> DataFrame:
@@ -41,8 +49,8 @@ def topk(scores: DataFrame, ratio: float | int | None = 0.5, min_score: float |
     if ratio is None and min_score is None:
         raise ValueError("ratio or min_score is needed")
     if min_score is not None:
-        s = scores.withColumn("score", segment_softmax(F.col("score"), "graph_id"))
-        r = ranked(s, ["graph_id"], [F.col("score").desc(), F.col("node_id")], "cluster_id")
+        s = softmaxed(scores, F.col("score"), ["graph_id"], "score") if spread else scores.withColumn("score", segment_softmax(F.col("score"), "graph_id"))
+        r = ranked(s, ["graph_id"], [F.col("score").desc(), F.col("node_id")], "cluster_id", spread)
         return r.where((F.col("score") > min_score) | (F.col("cluster_id") == 0)).select("graph_id", "node_id", "cluster_id", F.col("score").alias("weight"))
     r = ranked(scores, ["graph_id"], [F.col("score").desc(), F.col("node_id")], "cluster_id", spread)
     size = scores.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n"))
@@ -136,7 +144,7 @@ def matching(edges: DataFrame) -> DataFrame:
     return unioned(until_empty(start, step), start)
 
 
-def matched_clusters(nodes: DataFrame, matched: DataFrame, scores: bool = False) -> DataFrame:
+def matched_clusters(nodes: DataFrame, matched: DataFrame, scores: bool = False, spread: bool = False) -> DataFrame:
     """assign: the destination of a matched edge joins its source; ids are ranks of the labels in the graph."""
     to = matched.select("graph_id", F.col("dst").alias("node_id"), F.col("src").alias("_to"), *([F.col("score")] if scores else []))
     if scores:
@@ -145,9 +153,7 @@ def matched_clusters(nodes: DataFrame, matched: DataFrame, scores: bool = False)
         weight = F.coalesce("score", "_own", F.lit(1.0))
     else:
         out, weight = nodes.select("graph_id", "node_id").join(to, ["graph_id", "node_id"], "left"), F.lit(1.0)
-    rows = out.select("graph_id", "node_id", F.coalesce("_to", "node_id").alias("label"), weight.alias("weight"))
-    rank = F.dense_rank().over(Window.partitionBy("graph_id").orderBy("label")).cast("long") - 1
-    return rows.select("graph_id", "node_id", rank.alias("cluster_id"), "weight")
+    return from_labels(out.select("graph_id", "node_id", F.coalesce("_to", "node_id").alias("label"), weight.alias("weight")), spread)
 
 
 def edge_scores(nodes: DataFrame, edges: DataFrame, p: list[float], method: str | Callable = "softmax", add: float = 0.5) -> DataFrame:
@@ -160,19 +166,32 @@ def edge_scores(nodes: DataFrame, edges: DataFrame, p: list[float], method: str
     return e.select("graph_id", "src", "dst", (score + add).alias("score"))
 
 
-def edge_contraction(nodes: DataFrame, scored: DataFrame, spread: bool = False) -> DataFrame:
-    """Greedy matching of scored edges (graph_id, src, dst, score), the best first; pairs become supernodes."""
-    r = ranked(scored, ["graph_id"], [F.col("score").desc(), F.col("src"), F.col("dst")], "rank", spread)
+def edge_order(best: Column, ties: str = "id") -> list[Column]:
+    """Edges from the best to the worst; equal ones by their ends, or by a hash of the pair.
+
+    A matching's rounds follow the longest run of falling ranks along a path. Ends run along paths where many edges are equal,
+    so the rounds grow with the graph; a hash keeps them to its logarithm.
+    """
+    if ties not in ("id", "hash"):
+        raise ValueError(f"no tie rule {ties}; there are id and hash")
+    if ties == "id":
+        return [best.desc(), F.col("src"), F.col("dst")]
+    return [best.desc(), F.md5(F.concat_ws(":", F.least("src", "dst").cast("string"), F.greatest("src", "dst").cast("string"))), F.col("src")]
+
+
+def edge_contraction(nodes: DataFrame, scored: DataFrame, spread: bool = False, ties: str = "id") -> DataFrame:
+    """Greedy matching of scored edges (graph_id, src, dst, score), the best first; pairs become supernodes. ties: see edge_order()."""
+    r = ranked(scored, ["graph_id"], edge_order(F.col("score"), ties), "rank", spread)
     r = cut(r)
     won = matching(r).join(r.select("graph_id", "rank", "score"), ["graph_id", "rank"])
-    return matched_clusters(nodes, won, scores=True)
+    return matched_clusters(nodes, won, scores=True, spread=spread)
 
 
-def graclus(nodes: DataFrame, edges: DataFrame, spread: bool = False) -> DataFrame:
-    """Heavy-edge matching, the heaviest first, then by ends: a deterministic form of randomised greedy clustering."""
+def graclus(nodes: DataFrame, edges: DataFrame, spread: bool = False, ties: str = "id") -> DataFrame:
+    """Heavy-edge matching, the heaviest first: a deterministic form of randomised greedy clustering. ties: see edge_order()."""
     e = remove_self_loops(edges).withColumn("w", w_or_1())
-    r = ranked(e, ["graph_id"], [F.col("w").desc(), F.col("src"), F.col("dst")], "rank", spread)
-    return matched_clusters(nodes, matching(cut(r)))
+    r = ranked(e, ["graph_id"], edge_order(F.col("w"), ties), "rank", spread)
+    return matched_clusters(nodes, matching(cut(r)), spread=spread)
 
 
 # --- propagation -----------------------------------------------------------------------------------------------------
@@ -187,7 +206,7 @@ def propagate_once(assigned: DataFrame, edges: DataFrame) -> DataFrame:
     return best.select("graph_id", "node_id", "b.cluster_id")
 
 
-def assign_all(nodes: DataFrame, edges: DataFrame, kept: DataFrame, max_iter: int = 5, seed: int = 0) -> DataFrame:
+def assign_all(nodes: DataFrame, edges: DataFrame, kept: DataFrame, max_iter: int = 5, seed: int = 0, spread: bool = False) -> DataFrame:
     """Extend a partial selection (assign rows of kept nodes) to all nodes: rounds of propagate_once(), then a kept node of
     the graph by hash, or of any graph where it has none. Clusters keep the kept nodes' ids; weights are 1."""
     if max_iter <= 0:
@@ -199,7 +218,7 @@ def assign_all(nodes: DataFrame, edges: DataFrame, kept: DataFrame, max_iter: in
             break
         have = cut(have.unionByName(more))
     rest = nodes.select("graph_id", "node_id").join(have, ["graph_id", "node_id"], "left_anti")
-    numbered = ranked(kept.select("graph_id", "node_id", "cluster_id"), ["graph_id"], [F.col("node_id")], "_i")
+    numbered = ranked(kept.select("graph_id", "node_id", "cluster_id"), ["graph_id"], [F.col("node_id")], "_i", spread)
     size = numbered.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n"))
     pick = rest.join(size, "graph_id", "left").withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), "graph_id", "node_id"), F.col("_n")))
     found = pick.join(numbered.select("graph_id", "_i", "cluster_id"), ["graph_id", "_i"], "left")
@@ -242,6 +261,33 @@ def dp_select(nodes: DataFrame, layers: list, act: str | Callable = "relu", seed
     return _long(rows, F.col("_s"))
 
 
+def dp_sticks(nodes: DataFrame, layers: list, act: str | Callable = "relu") -> DataFrame:
+    """graph_id, node_id, stick, a, b: the Beta laws that dp_select() breaks sticks by."""
+    k = len(layers[-1][0][0]) // 2
+    soft = activation("softplus")
+    ab = nodes.withColumn("_l", mlp(F.col("x"), layers, act)).withColumn("_ab", F.transform("_l", lambda v: F.greatest(F.lit(1e-3), F.least(F.lit(1e3), soft(v)))))
+    pairs = F.array(*(F.struct(F.lit(j).alias("stick"), F.col("_ab")[j].alias("a"), F.col("_ab")[k + j].alias("b")) for j in range(k)))
+    return ab.select("graph_id", "node_id", F.inline(pairs))
+
+
+def maxcut_scores(nodes: DataFrame, matrix: DataFrame, net: dict) -> DataFrame:
+    """graph_id, node_id, score by a network of given weights over a propagation matrix (edges, as from delta_gcn()).
+
+    net: initial (weights, bias), layers (a list of the same: propagate, then affine), mlp (likewise, affine only), final, and
+    the activations mp_act (tanh), mlp_act (relu) and act (tanh). Parts that are left out are skipped; final sums, then.
+    """
+    x = nodes.select("graph_id", "node_id", "x")
+    to = lambda t, layer, f: t.select("graph_id", "node_id", F.transform(affine(F.col("x"), *layer), activation(f)).alias("x"))
+    if "initial" in net:
+        x = to(x, net["initial"], None)
+    for layer in net.get("layers", []):
+        x = to(weighted_sum(x, matrix, len(layer[0])), layer, net.get("mp_act", "tanh"))
+    for layer in net.get("mlp", []):
+        x = to(x, layer, net.get("mlp_act", "relu"))
+    last = affine(F.col("x"), *net["final"])[0] if "final" in net else F.aggregate("x", F.lit(0.0), lambda a, b: a + b)
+    return x.select("graph_id", "node_id", activation(net.get("act", "tanh"))(last).alias("score"))
+
+
 def lapool_leaders(nodes: DataFrame, edges: DataFrame, dims: int) -> DataFrame:
     """graph_id, node_id, v = |(L x)_i|, leader: whether no neighbour has a larger v; all are, where none would be."""
     e = remove_self_loops(edges)
@@ -253,8 +299,8 @@ def lapool_leaders(nodes: DataFrame, edges: DataFrame, dims: int) -> DataFrame:
     v = rows.select("graph_id", "node_id", F.round(F.sqrt(norm), 9).alias("v"))
     top = e.join(v.select("graph_id", F.col("node_id").alias("dst"), "v"), ["graph_id", "dst"]).groupBy("graph_id", F.col("src").alias("node_id")).agg(F.max("v").alias("_m"))
     lead = v.join(top, ["graph_id", "node_id"], "left").withColumn("_l", F.col("v") >= F.coalesce("_m", F.lit(float("-inf"))))
-    some = F.max(F.col("_l").cast("int")).over(Window.partitionBy("graph_id"))
-    return lead.select("graph_id", "node_id", "v", (F.col("_l") | (some == 0)).alias("leader"))
+    some = lead.groupBy("graph_id").agg(F.max(F.col("_l").cast("int")).alias("_some"))
+    return lead.join(some, "graph_id").select("graph_id", "node_id", "v", (F.col("_l") | (F.col("_some") == 0)).alias("leader"))
 
 
 def lapool(nodes: DataFrame, edges: DataFrame, dims: int, hops: DataFrame | None = None) -> DataFrame:

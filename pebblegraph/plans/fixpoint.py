@@ -3,32 +3,50 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The table, written to the shared checkpoint folder, so that its lineage ends here and lost executors do no harm."""
-    spark: SparkSession = df.sparkSession
+def shared(spark: SparkSession) -> None:
+    """See to it that checkpoints go to the folder that the session names."""
     if spark.sparkContext.getCheckpointDir() is None:
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="pebblegraph-"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder; what is written there goes when the driver's JVM ends."""
+    shared(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return f"{folder}/data"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table, written to the shared checkpoint folder, so that its lineage ends here and lost executors do no harm."""
+    shared(df.sparkSession)
     return df.checkpoint()
 
 
 def until_empty(state: DataFrame, step: Callable[[DataFrame], tuple[DataFrame, DataFrame]], rounds: int = 10_000) -> list[DataFrame]:
-    """Run step(state) -> (found, next state) until the state has no rows; what was found in each round. States are cut."""
+    """Run step(state) -> (found, next state) until the state has no rows; what was found in each round, which step has cut.
+
+    States are cut.
+    """
     found = []
     state = cut(state)
     for _ in range(rounds):
         if state.isEmpty():
             return found
         got, after = step(state)
-        got = cut(got)
         found.append(got)
         state = cut(after)
     raise RuntimeError(f"not settled after {rounds} rounds")
@@ -56,3 +74,12 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str, spre
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select("_part", *group, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
     return local.join(shift, ["_part", *group]).withColumn(name, (F.col("_own") + F.col("_shift")).cast("long") - 1).drop("_part", "_own", "_shift")
+
+
+def running_sums(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """The sum of ``value`` over the rows before each row, in the order of a column without repeats; no task holds all rows."""
+    dealt = cut(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    local = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    shift = dealt.groupBy("_part").agg(F.sum(value).alias("_s")).select("_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    return dealt.withColumn("_own", F.coalesce(F.sum(value).over(local), F.lit(0))).join(shift, "_part").withColumn(name, F.col("_base") + F.col("_own")).drop("_part", "_own", "_base")

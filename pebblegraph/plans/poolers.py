@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import activation, dot, hashed_weights, segment_softmax
-from ..graph import Graph, width, w_or_1
+from ..graph import Graph, collated, width, w_or_1
 from ..operators import connect, convolve, kernels, losses, ops, reduce, select
+from ..operators.assignments import collated_assigns
 from ..operators.lift import eigen_lifted, lifted
 from .fixpoint import cut
 
@@ -63,20 +64,20 @@ def topk(g: Graph, ratio: float = 0.5, min_score: float | None = None, p: list[f
     return out
 
 
-def sag(g: Graph, ratio: float = 0.5, w_self: list | None = None, w_near: list | None = None, gnn: Callable | None = None, act: str = "tanh") -> Pooled:
+def sag(g: Graph, ratio: float = 0.5, w_self: list | None = None, w_near: list | None = None, gnn: Callable | None = None, act: str = "tanh", spread: bool = False) -> Pooled:
     """Scores from a graph convolution that does not look at edge weights."""
     dims = width(g.nodes)
     plain = g.edges.withColumn("weight", F.lit(None).cast("double"))
     scored = gnn(g.nodes, plain) if gnn else convolve.graph_conv(g.nodes, plain, w_self or [[1.0]] * dims, w_near or [[1.0]] * dims)
-    a = select.topk(scored.select("graph_id", "node_id", activation(act)(F.col("x")[0]).alias("score")), ratio)
+    a = select.topk(scored.select("graph_id", "node_id", activation(act)(F.col("x")[0]).alias("score")), ratio, spread=spread)
     return _hard(g, cut(a), dims, con=None)
 
 
-def pan(g: Graph, ratio: float = 0.5, p: list[float] | None = None, beta: tuple[float, float] = (0.5, 0.5)) -> Pooled:
+def pan(g: Graph, ratio: float = 0.5, p: list[float] | None = None, beta: tuple[float, float] = (0.5, 0.5), spread: bool = False) -> Pooled:
     dims = width(g.nodes)
     d = ops.degree(g.nodes, g.edges)
     s = g.nodes.join(d, ["graph_id", "node_id"]).select("graph_id", "node_id", F.tanh(beta[0] * dot(F.col("x"), p or [1.0] * dims) + beta[1] * F.col("degree")).alias("score"))
-    return _hard(g, cut(select.topk(s, ratio)), dims, con=None, self_loops=True)
+    return _hard(g, cut(select.topk(s, ratio, spread=spread)), dims, con=None, self_loops=True)
 
 
 def asap_features(g: Graph, dims: int, lin: list[list[float]] | None = None, att: list[float] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -93,20 +94,21 @@ def asap_features(g: Graph, dims: int, lin: list[list[float]] | None = None, att
     return soft.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.array(*(F.sum(F.col("_s") * F.col(f"x{i}")) for i in range(dims))).alias("x")), e
 
 
-def asap(g: Graph, ratio: float = 0.5, lin: list | None = None, att: list[float] | None = None, le: tuple | None = None) -> Pooled:
+def asap(g: Graph, ratio: float = 0.5, lin: list | None = None, att: list[float] | None = None, le: tuple | None = None, gnn: Callable | None = None, spread: bool = False) -> Pooled:
+    """gnn(nodes, edges): features from message passing, before the clusters attend to them."""
     dims = width(g.nodes)
-    x, e = asap_features(g, dims, lin, att)
+    x, e = asap_features(Graph(cut(gnn(g.nodes, g.edges)), g.edges) if gnn else g, dims, lin, att)
     x = cut(x)
     w1, w2, w3 = le or ([1.0 / dims] * dims,) * 3
     s = convolve.local_extremum(x, e, w1, w2, w3).withColumn("score", activation("sigmoid")(F.col("score")))
-    return _hard(Graph(x, e), cut(select.topk(s, ratio)), dims, con=None)
+    return _hard(Graph(x, e), cut(select.topk(s, ratio, spread=spread)), dims, con=None)
 
 
-def ec(g: Graph, p: list[float] | None = None, method: str = "softmax", add: float = 0.5, spread: bool = False) -> Pooled:
+def ec(g: Graph, p: list[float] | None = None, method: str = "softmax", add: float = 0.5, spread: bool = False, ties: str = "id") -> Pooled:
     g = Graph(g.nodes, cut(g.edges))  # scores and contraction read them several times
     dims = width(g.nodes)
     s = select.edge_scores(g.nodes, g.edges, p or [1.0 / dims] * (2 * dims), method, add)
-    return _hard(g, cut(select.edge_contraction(g.nodes, s, spread)), dims)
+    return _hard(g, cut(select.edge_contraction(g.nodes, s, spread, ties)), dims)
 
 
 def kmis(g: Graph, order_k: int = 1, scorer: str = "degree", heuristic: str | None = "greedy", force_undirected: bool = False, red: str | None = "sum", spread: bool = False) -> Pooled:
@@ -120,8 +122,8 @@ def kmis(g: Graph, order_k: int = 1, scorer: str = "degree", heuristic: str | No
     return out
 
 
-def graclus(g: Graph, spread: bool = False) -> Pooled:
-    return _hard(g, cut(select.graclus(g.nodes, g.edges, spread)), width(g.nodes))
+def graclus(g: Graph, spread: bool = False, ties: str = "id") -> Pooled:
+    return _hard(g, cut(select.graclus(g.nodes, g.edges, spread, ties)), width(g.nodes))
 
 
 def ndp(g: Graph, threshold: float = 1e-2) -> Pooled:
@@ -133,16 +135,17 @@ def sep(g: Graph) -> Pooled:
     return _hard(g, cut(kernels.sep(g.nodes, g.edges)), width(g.nodes), degree_norm=True)
 
 
-def maxcut(g: Graph, ratio: float = 0.5, layers: int = 2, delta: float = 2.0, max_iter: int = 5) -> Pooled:
-    """Scores by sign-alternating propagation with I - delta L_sym, top-k, nearest-kept assignment of the rest."""
+def maxcut(g: Graph, ratio: float = 0.5, layers: int = 2, delta: float = 2.0, max_iter: int = 5, net: dict | None = None, spread: bool = False) -> Pooled:
+    """Scores by sign-alternating propagation with I - delta L_sym, top-k, nearest-kept assignment of the rest.
+
+    net: the score network's weights (see maxcut_scores()); without it, ``layers`` propagations with tanh, and a sum.
+    """
     dims = width(g.nodes)
     m = cut(ops.delta_gcn(g.nodes, g.edges, delta))
-    x = g.nodes
-    for _ in range(layers):
-        x = convolve.weighted_sum(x, m, dims).withColumn("x", F.transform("x", F.tanh))
-    s = cut(x.select("graph_id", "node_id", F.tanh(dot(F.col("x"), [1.0] * dims)).alias("score")))
-    kept = cut(select.topk(s, ratio))
-    full = select.assign_all(g.nodes, g.edges, kept, max_iter)
+    eye = [[float(i == j) for j in range(dims)] for i in range(dims)]
+    s = cut(select.maxcut_scores(g.nodes, m, net or {"layers": [(eye, None)] * layers}))
+    kept = cut(select.topk(s, ratio, spread=spread))
+    full = select.assign_all(g.nodes, g.edges, kept, max_iter, spread=spread)
     out = Pooled(reduce.reduced(g.nodes, kept, "sum", dims), connect.sparse_connect(g.edges, full, "sum", weight_norm=True), full, {"maxcut_loss": losses.maxcut(g.edges, s)}, dims=dims)
     out.extra["scores"] = s
     return out
@@ -183,12 +186,18 @@ def hosc(g: Graph, k: int, layers: list | None = None, act: str = "relu", alpha:
     return _soft(g, s, dims, loss, degree_norm=degree_norm)
 
 
-def bnpool(g: Graph, k: int, layers: list | None = None, k_init: float = 1.0, seed: int | None = None) -> Pooled:
+def bnpool(g: Graph, k: int, layers: list | None = None, k_init: float = 1.0, seed: int | None = None, alpha: float = 1.0, eta: float = 1.0, k_mean: float = 10.0, k_variance: float = 1.0, negatives: DataFrame | None = None) -> Pooled:
+    """Stick-breaking memberships; its objectives are reconstruction over edges and non-edges (``negatives``, or guessed ones),
+    eta times the sticks' divergence from Beta(1, alpha), and the prior of the cluster matrix, the last two over those pairs."""
     dims = width(g.nodes)
-    s = cut(select.dp_select(g.nodes, layers or [(hashed_weights(dims, 2 * (k - 1)), None)], "relu", seed))
+    layers = layers or [(hashed_weights(dims, 2 * (k - 1)), None)]
+    s = cut(select.dp_select(g.nodes, layers, "relu", seed))
     matrix = [[k_init if i == j else -k_init for j in range(k)] for i in range(k)]
-    negative = ops.sampled_negative_edges(g.nodes, g.edges, 2)
-    return _soft(g, s, dims, {"quality": losses.sparse_bce(g.edges, negative, s, matrix)})
+    quality = cut(losses.sparse_bce(g.edges, ops.sampled_negative_edges(g.nodes, g.edges, 2) if negatives is None else negatives, s, matrix))
+    kl = losses.kl_beta(select.dp_sticks(g.nodes, layers), 1.0, alpha).join(quality.select("graph_id", "n_edges"), "graph_id")
+    prior = losses.k_prior(matrix, k_mean, k_variance)
+    loss = {"quality": quality, "kl": kl.select("graph_id", (eta * F.col("loss") / F.col("n_edges")).alias("loss")), "K_prior": quality.select("graph_id", (F.lit(prior) / F.col("n_edges")).alias("loss"))}
+    return _soft(g, s, dims, loss)
 
 
 def lap(g: Graph, shortest_path_reg: bool = False) -> Pooled:
@@ -197,6 +206,12 @@ def lap(g: Graph, shortest_path_reg: bool = False) -> Pooled:
     return _soft(g, cut(select.lapool(g.nodes, g.edges, dims, far)), dims)
 
 
+def by_assignment(g: Graph, assign: DataFrame, red: str = "sum", con: str | None = "sum", soft: bool = False, **post) -> Pooled:
+    """The other steps after a selection that is there already. soft: a node may have several memberships."""
+    dims = width(g.nodes)
+    return _soft(g, assign, dims, **post) if soft else _hard(g, assign, dims, red, con, **post)
+
+
 def nmf(g: Graph, k: int) -> Pooled:
     return _soft(g, cut(kernels.nmf(g.nodes, g.edges, k)), width(g.nodes))
 
@@ -237,20 +252,85 @@ def abilities(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, *v) for n, v in ABILITIES.items()], "name string, sparse boolean, trainable boolean, objectives boolean, precomputed boolean")
 
 
-def precoarsened(g: Graph, steps: list) -> list[Pooled]:
-    """One level after the other. steps: names, (name, options) or dicts with "name"; trainable poolers are refused."""
-    out = []
-    for step in [steps] if isinstance(steps, (str, tuple, dict)) else steps:
-        name, options = (step, {}) if isinstance(step, str) else step if isinstance(step, tuple) else (step["name"], {k: v for k, v in step.items() if k != "name"})
-        if not ABILITIES.get(name.lower(), (0, 0, 0, False))[3]:
-            raise ValueError(f"{name} cannot be precomputed")
-        p = get_pooler(name, **options)(g)
+class Cached:
+    """A pooler that keeps what it made of its first graph, until clear()."""
+
+    def __init__(self, pooler: Callable[[Graph], Pooled]) -> None:
+        self.pooler, self.kept = pooler, None
+
+    def __call__(self, g: Graph) -> Pooled:
+        if self.kept is None:
+            p = self.pooler(g)
+            p.nodes, p.edges, p.assign = cut(p.nodes), cut(p.edges), cut(p.assign)
+            self.kept = p
+        return self.kept
+
+    def clear(self) -> None:
+        self.kept = None
+
+
+def _levels(steps: str | tuple | dict | Callable | list) -> list[tuple]:
+    """(name or callable, options) of each level."""
+    one = lambda s: (s, {}) if isinstance(s, str) or callable(s) else (s["name"], {k: v for k, v in s.items() if k != "name"}) if isinstance(s, dict) else (s[0], dict(s[1] or {}))
+    return [one(s) for s in ([steps] if isinstance(steps, (str, tuple, dict)) or callable(steps) else steps)]
+
+
+def runs(steps: str | tuple | dict | Callable | list) -> list[tuple]:
+    """(name or callable, options, levels): equal levels in a row are one run."""
+    out: list[tuple] = []
+    for what, options in _levels(steps):
+        if out and out[-1][0] == what and out[-1][1] == options:
+            out[-1] = (what, options, out[-1][2] + 1)
+        else:
+            out.append((what, options, 1))
+    return out
+
+
+def _sep_run(g: Graph, levels: int) -> list[Pooled]:
+    """All levels of one coding tree."""
+    tree, out = cut(kernels.sep_levels(g.nodes, g.edges, levels)), []
+    for k in range(levels):
+        a = tree.where(F.col("level") == k).select("graph_id", F.col("child").alias("node_id"), F.col("parent").alias("cluster_id"), F.lit(1.0).alias("weight"))
+        p = by_assignment(g, a, degree_norm=True)
         p.nodes, p.edges = cut(p.nodes), cut(p.edges)
         out.append(p)
         g = p.graph
     return out
 
 
+def precoarsened(g: Graph, steps: str | tuple | dict | Callable | list) -> list[Pooled]:
+    """One level after the other. steps: names, (name, options), dicts with "name", or functions of a graph.
+
+    Trainable poolers are refused by name. Equal levels in a row are one run: those of sep come from one tree, the others are
+    made one by one.
+    """
+    out = []
+    for what, options, levels in runs(steps):
+        if not callable(what) and not ABILITIES.get(what.lower(), (0, 0, 0, False))[3]:
+            raise ValueError(f"{what} cannot be precomputed")
+        if not callable(what) and what.lower() == "sep" and levels > 1:
+            out += _sep_run(g, levels)
+        else:
+            for _ in range(levels):
+                p = what(g) if callable(what) else get_pooler(what, **options)(g)
+                p.nodes, p.edges = cut(p.nodes), cut(p.edges)
+                out.append(p)
+                g = p.graph
+        g = out[-1].graph
+    return out
+
+
+def collated_levels(hierarchies: list[list[Pooled]]) -> list[Pooled]:
+    """Hierarchies of several graphs as one, level by level; they must have equally many levels."""
+    if len({len(h) for h in hierarchies}) != 1:
+        raise ValueError("hierarchies of different numbers of levels")
+    out = []
+    for level in zip(*hierarchies):
+        g = collated([p.graph for p in level])
+        out.append(Pooled(g.nodes, g.edges, collated_assigns([p.assign for p in level]), dims=level[0].dims))
+    return out
+
+
 def tagged(levels: list[Pooled], what: str) -> DataFrame:
     """The levels' nodes, edges or assign tables as one, with a column level."""
     out = None

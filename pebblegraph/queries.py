@@ -6,6 +6,7 @@ table graphs. Sums of fractions are rounded to 6 places on both sides.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,10 @@ from pyspark.sql import functions as F
 
 from .functions.columns import segment_softmax
 from .graph import Graph
-from .operators import connect, convolve, kernels, losses, ops, reduce, select
+from .operators import assignments, connect, convolve, kernels, losses, ops, reduce, select
 from .operators.lift import eigen_lifted, lifted
 from .plans import poolers
-from .plans.fixpoint import cut
+from .plans.fixpoint import cut, scratch
 from .sources import generators, tables
 
 QUERY = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +29,7 @@ _SQL: dict[str, str] = {}
 _CO = "SELECT CAST(0 AS BIGINT) AS graph_id, a.k AS src, b.k AS dst, CAST(count(*) AS DOUBLE) AS weight FROM p a JOIN p b ON a.o = b.o AND a.k <> b.k GROUP BY a.k, b.k"
 SUPPLIERS = f"""p AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS k FROM lineitem), e AS ({_CO}),
 n AS (SELECT CAST(0 AS BIGINT) AS graph_id, s_suppkey AS node_id, CAST(s_nationkey AS DOUBLE) AS x0, CAST(floor(s_acctbal) AS DOUBLE) AS x1 FROM supplier)"""
-PARTS = f"""p AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS k FROM lineitem), e AS MATERIALIZED ({_CO} HAVING count(*) >= 2),
+PARTS = f"""p AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS k FROM lineitem), e AS MATERIALIZED ({_CO}),
 n AS (SELECT CAST(0 AS BIGINT) AS graph_id, p_partkey AS node_id, CAST(p_size AS DOUBLE) AS x0, CAST(floor(p_retailprice) AS DOUBLE) AS x1 FROM part)"""
 USERS = """t AS (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS BIGINT) AS t FROM (SELECT DISTINCT event_type FROM events)),
 v AS (SELECT user_id, ts, event_id, t.t FROM events JOIN t USING (event_type)),
@@ -77,23 +78,6 @@ def query(base: str | None = None, sql: str | None = None, steps: str = ""):
     return add
 
 
-def whole(sql: bool = False):
-    """Register a query of the part graph once more, as NAME_whole, on all pairs of parts that share an order.
-
-    NAME itself keeps the pairs that its SQL keeps. sql: the same SQL without that filter holds for any table; SQL that
-    unrolls a fixpoint does not, so those queries have none and are tested against brute force.
-    """
-
-    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        name = f"{f.__name__}_whole"
-        _QUERIES[name] = lambda spark, d: f(spark, d, 1)
-        if sql:
-            _SQL[name] = _SQL[f.__name__].replace(" HAVING count(*) >= 2", "")
-        return f
-
-    return add
-
-
 def queries() -> dict[str, QUERY]:
     return dict(_QUERIES)
 
@@ -120,10 +104,9 @@ def graph_suppliers(spark, d):
     return tables.suppliers(spark, d).edges
 
 
-@whole(sql=True)
 @query(PARTS, "SELECT * FROM e")
-def graph_parts(spark, d, least=2):
-    return tables.parts(spark, d, least).edges
+def graph_parts(spark, d):
+    return tables.parts(spark, d).edges
 
 
 @query(USERS, "SELECT * FROM e")
@@ -141,7 +124,7 @@ def graph_order_cliques(spark, d):
     return tables.order_cliques(spark, d).edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
-@query()
+@query(None, "WITH v AS (SELECT label AS g, vec_id AS i, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), p AS (SELECT CAST(a.g AS BIGINT) AS graph_id, a.i AS src, b.i AS dst, round(list_dot_product(a.x, b.x), 6) AS weight FROM v a JOIN v b ON a.g = b.g AND a.i <> b.i) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY graph_id, src ORDER BY weight DESC, dst) <= 5")
 def graph_nearest(spark, d):
     return tables.nearest(spark, d).edges
 
@@ -220,7 +203,7 @@ def negative_edges_first_n(spark, d):
 
 @query()
 def negative_edges_sampled(spark, d):
-    g = tables.parts(spark, d, 1)
+    g = tables.parts(spark, d)
     return ops.sampled_negative_edges(g.nodes, g.edges, 3)
 
 
@@ -246,18 +229,9 @@ def loader_batches(spark, d):
     return generators.batches(tables.conversations(spark, d).nodes, 32)
 
 
-@query(USERS, "SELECT CAST(0 AS BIGINT) AS graph_id, src, dst, weight FROM e WHERE graph_id = (SELECT min(graph_id) FROM n) UNION ALL SELECT 1, src, dst, weight FROM e WHERE graph_id = (SELECT max(graph_id) FROM n)")
-def collated_graphs(spark, d):
-    from .graph import collated, separated
-
-    g = tables.transitions(spark, d)
-    lo, hi = g.nodes.agg(F.min("graph_id"), F.max("graph_id")).first()
-    return collated([separated(g, lo), separated(g, hi)]).edges
-
-
 @query(USERS, "SELECT k.c AS graph_id, src, dst, weight FROM e JOIN (SELECT graph_id, CAST(row_number() OVER (ORDER BY graph_id) - 1 AS BIGINT) AS c FROM (SELECT DISTINCT graph_id FROM n)) k USING (graph_id)")
-def collated_graphs_whole(spark, d):
-    """The graphs of all users; collated_graphs is the pair that its SQL names."""
+def collated_graphs(spark, d):
+    """The graphs of all users."""
     from .graph import renumbered
 
     return renumbered(tables.transitions(spark, d)).edges
@@ -343,27 +317,28 @@ _DEGREE_SCORE_2 = "WITH k1 AS (SELECT n.node_id, coalesce(sum(e.weight), 0) AS s
 _KMIS_OUT = "SELECT CAST(0 AS BIGINT) AS graph_id, q.node_id, CAST(i.c AS BIGINT) AS cluster_id, CAST(sc.s AS DOUBLE) AS weight FROM q{k} q JOIN (SELECT rk, row_number() OVER (ORDER BY node_id) - 1 AS c FROM z) i ON i.rk = q.m JOIN sc ON sc.node_id = q.node_id"
 
 
-@whole()
 @query(PARTS, _KMIS_OUT.format(k=1), _mis_sql(1, 12, _DEGREE_SCORE))
-def kmis_degree_k1(spark, d, least=2):
-    g = tables.parts(spark, d, least)
+def kmis_degree_k1(spark, d):
+    g = tables.parts(spark, d)
     return select.kmis(g.nodes, cut(g.edges), 1, spread=True)[0]
 
 
-@whole()
 @query(PARTS, _KMIS_OUT.format(k=2), _mis_sql(2, 9, _DEGREE_SCORE_2))
-def kmis_degree_k2(spark, d, least=2):
-    g = tables.parts(spark, d, least)
+def kmis_degree_k2(spark, d):
+    g = tables.parts(spark, d)
     return select.kmis(g.nodes, cut(g.edges), 2, spread=True)[0]
 
 
-@whole()
 @query(PARTS, "SELECT CAST(0 AS BIGINT) AS graph_id, node_id, rk AS rank FROM z", _mis_sql(1, 14, "SELECT node_id, CAST(-node_id AS DOUBLE) AS s, CAST(-node_id AS DOUBLE) AS h FROM n"))
-def kmis_canonical(spark, d, least=2):
-    g = tables.parts(spark, d, least)
+def kmis_canonical(spark, d):
+    g = tables.parts(spark, d)
     return select.kmis(g.nodes, cut(g.edges), 1, "canonical", None, spread=True)[1]
 
 
+#: Equal edges by a hash of the pair, see edge_order().
+_TIES = "md5(least(src, dst) || ':' || greatest(src, dst)), src"
+
+
 def _matching_sql(rounds: int, order: str, source: str = "e WHERE src <> dst") -> str:
     out = [f"l0 AS MATERIALIZED (SELECT src, dst, row_number() OVER (ORDER BY {order}) - 1 AS rk FROM {source})"]
     for i in range(rounds):
@@ -375,53 +350,52 @@ def _matching_sql(rounds: int, order: str, source: str = "e WHERE src <> dst") -
     return ", ".join(out)
 
 
-@whole()
-@query(PARTS, "SELECT CAST(0 AS BIGINT) AS graph_id, src, dst FROM z", _matching_sql(14, "weight DESC, src, dst"))
-def matching_by_weight(spark, d, least=2):
+@query(PARTS, "SELECT CAST(0 AS BIGINT) AS graph_id, src, dst FROM z", _matching_sql(16, "weight DESC, " + _TIES))
+def matching_by_weight(spark, d):
     from .plans.fixpoint import ranked
 
-    e = tables.parts(spark, d, least).edges
-    return select.matching(cut(ranked(e, ["graph_id"], [F.col("weight").desc(), F.col("src"), F.col("dst")], "rank", True))).drop("rank")
+    e = tables.parts(spark, d).edges
+    return select.matching(cut(ranked(e, ["graph_id"], select.edge_order(F.col("weight"), "hash"), "rank", True))).drop("rank")
 
 
-@whole()
-@query(PARTS, "SELECT CAST(0 AS BIGINT) AS graph_id, node_id, c AS cluster_id, CAST(1 AS DOUBLE) AS weight FROM cl", _matching_sql(14, "weight DESC, src, dst"))
-def graclus_select(spark, d, least=2):
-    g = tables.parts(spark, d, least)
-    return select.graclus(g.nodes, cut(g.edges), spread=True)
+@query(PARTS, "SELECT CAST(0 AS BIGINT) AS graph_id, node_id, c AS cluster_id, CAST(1 AS DOUBLE) AS weight FROM cl", _matching_sql(16, "weight DESC, " + _TIES))
+def graclus_select(spark, d):
+    g = tables.parts(spark, d)
+    return select.graclus(g.nodes, cut(g.edges), spread=True, ties="hash")
 
 
-@whole()
-@query(PARTS, "SELECT CAST(0 AS BIGINT) AS graph_id, a.c AS src, b.c AS dst, sum(weight) AS weight FROM e JOIN cl a ON a.node_id = src JOIN cl b ON b.node_id = dst WHERE a.c <> b.c GROUP BY ALL", _matching_sql(14, "weight DESC, src, dst"))
-def graclus_pool(spark, d, least=2):
-    g = tables.parts(spark, d, least)
-    return poolers.graclus(Graph(g.nodes, cut(g.edges)), spread=True).edges
+@query(PARTS, "SELECT CAST(0 AS BIGINT) AS graph_id, a.c AS src, b.c AS dst, sum(weight) AS weight FROM e JOIN cl a ON a.node_id = src JOIN cl b ON b.node_id = dst WHERE a.c <> b.c GROUP BY ALL", _matching_sql(16, "weight DESC, " + _TIES))
+def graclus_pool(spark, d):
+    g = tables.parts(spark, d)
+    return poolers.graclus(Graph(g.nodes, cut(g.edges)), spread=True, ties="hash").edges
 
 
-@whole()
-@query(PARTS, "SELECT CAST(0 AS BIGINT) AS graph_id, node_id, c AS cluster_id FROM cl", "sc AS MATERIALIZED (SELECT src, dst, tanh((a.x0 - b.x0) / 64.0) + 0.5 AS s FROM e JOIN n a ON a.node_id = src JOIN n b ON b.node_id = dst), " + _matching_sql(16, "s DESC, src, dst", "sc"))
-def ec_select(spark, d, least=2):
-    g = tables.parts(spark, d, least)
-    e = cut(g.edges)
+#: Nodes of many graphs under one id, node ids being below 1,000.
+_KEYED = "ke AS (SELECT graph_id * 1000 + src AS src, graph_id * 1000 + dst AS dst, {} AS s FROM {})"
+_MATCHED = "lb AS (SELECT n.graph_id, n.node_id, coalesce(z.src, n.graph_id * 1000 + n.node_id) AS label FROM n LEFT JOIN z ON z.dst = n.graph_id * 1000 + n.node_id), cm AS MATERIALIZED (SELECT graph_id, node_id, CAST(dense_rank() OVER (PARTITION BY graph_id ORDER BY label) - 1 AS BIGINT) AS c FROM lb), p0 AS MATERIALIZED (SELECT e.graph_id, a.c AS src, b.c AS dst, sum(weight) AS weight FROM e JOIN cm a ON a.graph_id = e.graph_id AND a.node_id = src JOIN cm b ON b.graph_id = e.graph_id AND b.node_id = dst WHERE a.c <> b.c GROUP BY ALL)"
+
+
+@query(USERS, "SELECT graph_id, node_id, c AS cluster_id FROM cm", "sc AS (SELECT e.graph_id, src, dst, tanh((a.x0 - b.x0) / 64.0) + 0.5 AS s FROM e JOIN n a ON a.graph_id = e.graph_id AND a.node_id = src JOIN n b ON b.graph_id = e.graph_id AND b.node_id = dst WHERE src <> dst), " + _KEYED.format("s", "sc") + ", " + _matching_sql(8, "s DESC, src, dst", "ke") + ", " + _MATCHED)
+def ec_select(spark, d):
+    g = tables.transitions(spark, d)
+    e = cut(ops.remove_self_loops(g.edges))
     s = select.edge_scores(g.nodes, e, [1 / 64, 0.0, -1 / 64, 0.0], "tanh")
-    return select.edge_contraction(g.nodes, s, spread=True).drop("weight")
+    return select.edge_contraction(g.nodes, s).drop("weight")
 
 
 _VOTES = "SELECT dst AS node_id, cluster_id FROM (SELECT e.dst, k.cluster_id, row_number() OVER (PARTITION BY e.dst ORDER BY count(*) DESC, k.cluster_id) AS r FROM e JOIN {0} k ON k.node_id = e.src WHERE e.dst NOT IN (SELECT node_id FROM {0}) GROUP BY e.dst, k.cluster_id) WHERE r = 1"
 
 
-@whole(sql=True)
 @query(PARTS, "SELECT CAST(0 AS BIGINT) AS graph_id, * FROM (" + _VOTES.format("k0") + ")", "k0 AS (SELECT node_id, node_id AS cluster_id FROM n WHERE node_id % 10 = 0)")
-def propagate_one_round(spark, d, least=2):
-    g = tables.parts(spark, d, least)
+def propagate_one_round(spark, d):
+    g = tables.parts(spark, d)
     return select.propagate_once(g.nodes.where("node_id % 10 = 0").select("graph_id", "node_id", F.col("node_id").alias("cluster_id")), g.edges)
 
 
-@whole(sql=True)
 @query(PARTS, "SELECT CAST(0 AS BIGINT) AS graph_id, node_id, cluster_id FROM k5", "k0 AS (SELECT node_id, node_id AS cluster_id FROM n WHERE node_id % 10 = 0), " + ", ".join(f"k{i + 1} AS MATERIALIZED (SELECT * FROM k{i} UNION ALL {_VOTES.format(f'k{i}')})" for i in range(5)))
-def assign_reachable_nodes(spark, d, least=2):
+def assign_reachable_nodes(spark, d):
     """What five rounds reach; assign_all() adds hashed choices for the rest."""
-    g = tables.parts(spark, d, least)
+    g = tables.parts(spark, d)
     e, kept = cut(g.edges), g.nodes.where("node_id % 10 = 0").select("graph_id", "node_id", F.col("node_id").alias("cluster_id"))
     have = cut(kept)
     for _ in range(5):
@@ -429,9 +403,10 @@ def assign_reachable_nodes(spark, d, least=2):
     return have
 
 
-@query()
+@query(PARTS, "SELECT CAST(0 AS BIGINT) AS graph_id, node_id, cluster_id, CAST(1 AS DOUBLE) AS weight FROM k5", "k0 AS (SELECT node_id, node_id AS cluster_id FROM n WHERE node_id % 10 = 0), " + ", ".join(f"k{i + 1} AS MATERIALIZED (SELECT * FROM k{i} UNION ALL {_VOTES.format(f'k{i}')})" for i in range(5)))
 def assign_all_nodes(spark, d):
-    g = tables.parts(spark, d, 1)
+    """Five rounds reach every node of these graphs, so that none is left for a hashed choice."""
+    g = tables.parts(spark, d)
     kept = g.nodes.where("node_id % 10 = 0").select("graph_id", "node_id", F.col("node_id").alias("cluster_id"))
     return select.assign_all(g.nodes, cut(g.edges), kept)
 
@@ -671,10 +646,16 @@ def k_prior(spark, d):
     return spark.range(1).select(F.round(F.lit(losses.k_prior(_K, 1.0, 0.5)), 6).alias("loss"))
 
 
-@query()
+def _kl_sql(a: str, b: str, alpha: float, beta: float) -> str:
+    """KL(Beta(a, b) | Beta(alpha, beta)) with the engine's own lgamma, and digamma by recurrence to x + 20 and its series."""
+    digamma = lambda x: f"(ln({x} + 20) - 0.5 / ({x} + 20) - 1 / (12 * power({x} + 20, 2)) + 1 / (120 * power({x} + 20, 4)) - 1 / (252 * power({x} + 20, 6)) - list_sum(list_transform(range(0, 20), lambda i: 1 / ({x} + i))))"
+    return f"(lgamma({alpha}) + lgamma({beta}) - lgamma({alpha} + {beta}) - lgamma({a}) - lgamma({b}) + lgamma({a} + {b}) + ({a} - {alpha}) * {digamma(a)} + ({b} - {beta}) * {digamma(b)} + ({alpha} - {a} + {beta} - {b}) * {digamma(f'({a} + {b})')})"
+
+
+@query(USERS, f"SELECT graph_id, round(sum({_kl_sql('(1 + x0 / 10)', '(1 + x1 / 10)', 1.0, 2.0)}), 6) AS loss FROM n GROUP BY graph_id")
 def kl_loss(spark, d):
     n = tables.transitions(spark, d).nodes
-    return losses.kl_beta(n.select("graph_id", (1 + F.col("x")[0] / 10).alias("a"), (1 + F.col("x")[1] / 10).alias("b")), 1.0, 2.0)
+    return rounded(losses.kl_beta(n.select("graph_id", (1 + F.col("x")[0] / 10).alias("a"), (1 + F.col("x")[1] / 10).alias("b")), 1.0, 2.0), "loss")
 
 
 # --- message passing and poolers -------------------------------------------------------------------------------------
@@ -719,17 +700,92 @@ def _named(name: str, build: Callable[[SparkSession, str], DataFrame]) -> None:
     query()(build)
 
 
-_named("asap_pool", lambda spark, d: poolers.asap(tables.conversations(spark, d)).edges)
-_named("ec_pool", lambda spark, d: poolers.ec(tables.conversations(spark, d)).edges)
+_ASAP = """el AS (SELECT * FROM e UNION ALL SELECT graph_id, node_id, node_id, 1.0 FROM n),
+fr AS (SELECT el.*, n.x0, n.x1 FROM el JOIN n ON n.graph_id = el.graph_id AND n.node_id = el.src),
+aq AS (SELECT graph_id, dst, 0.5 * (max(x0) + max(x1)) AS q FROM fr GROUP BY ALL),
+ar AS (SELECT fr.*, CASE WHEN q + 0.5 * (x0 + x1) >= 0 THEN 1.0 ELSE 0.2 END * (q + 0.5 * (x0 + x1)) AS a FROM fr JOIN aq USING (graph_id, dst)),
+ae AS (SELECT *, exp(a - max(a) OVER (PARTITION BY graph_id, dst)) AS ex FROM ar),
+ax AS (SELECT graph_id, dst AS node_id, sum(ex * x0) / sum(ex) AS x0, sum(ex * x1) / sum(ex) AS x1 FROM ae GROUP BY ALL)"""
+
+
+@query(CHATS, "SELECT graph_id, node_id, round(x0, 6) AS x0, round(x1, 6) AS x1 FROM ax", _ASAP)
+def asap_attention(spark, d):
+    """Features of each node's cluster of in-neighbours, before the best are chosen."""
+    return flat(poolers.asap_features(tables.conversations(spark, d), 2, att=[0.5] * 4)[0], 2, 6)
+
+
+@query(CHATS, "SELECT el.graph_id, a.c AS src, b.c AS dst, el.weight FROM el JOIN pk a ON a.graph_id = el.graph_id AND a.node_id = src JOIN pk b ON b.graph_id = el.graph_id AND b.node_id = dst WHERE a.c <> b.c",
+       _ASAP + ", sc AS (SELECT ax.graph_id, ax.node_id, 1 / (1 + exp(-(0.5 * (any_value(ax.x0) + any_value(ax.x1)) * (1 + sum(el.weight)) - sum(el.weight * 0.5 * (m.x0 + m.x1))))) AS s FROM ax JOIN el ON el.graph_id = ax.graph_id AND el.dst = ax.node_id JOIN ax m ON m.graph_id = el.graph_id AND m.node_id = el.src GROUP BY ALL), pk AS (SELECT graph_id, node_id, row_number() OVER (PARTITION BY graph_id ORDER BY s DESC, node_id) - 1 AS c, count(*) OVER (PARTITION BY graph_id) AS k FROM sc QUALIFY c < ceil(0.5 * k))")
+def asap_pool(spark, d):
+    return poolers.asap(tables.conversations(spark, d), att=[0.5] * 4).edges
+
+
+_EC = "er AS (SELECT e.graph_id, src, dst, 0.5 * (a.x0 + a.x1 + b.x0 + b.x1) AS r FROM e JOIN n a ON a.graph_id = e.graph_id AND a.node_id = src JOIN n b ON b.graph_id = e.graph_id AND b.node_id = dst), ex AS (SELECT *, exp(r - max(r) OVER (PARTITION BY graph_id, dst)) AS x FROM er), es AS (SELECT graph_id, src, dst, x / sum(x) OVER (PARTITION BY graph_id, dst) + 0.5 AS s FROM ex)"
+
+
+@query(CHATS, "SELECT * FROM p0", _EC + ", " + _KEYED.format("s", "es") + ", " + _matching_sql(12, "s DESC, src, dst", "ke") + ", " + _MATCHED)
+def ec_pool(spark, d):
+    return poolers.ec(tables.conversations(spark, d), p=[0.5] * 4).edges
+
+
+@query(USERS, "SELECT sn.graph_id, src, dst, round(weight / sqrt(greatest(coalesce(a.w, 0), 1e-8)) / sqrt(greatest(coalesce(b.w, 0), 1e-8)), 6) AS weight FROM sn LEFT JOIN dt a ON a.graph_id = sn.graph_id AND a.v = src LEFT JOIN dt b ON b.graph_id = sn.graph_id AND b.v = dst", SOFT + ", " + _DENSE + ", dt AS (SELECT graph_id, dst AS v, sum(weight) AS w FROM sn GROUP BY ALL)")
+def mincut_pool(spark, d):
+    return rounded(poolers.mincut(tables.transitions(spark, d), 3, LAYERS).edges, "weight")
+
+
+def _objective(name: str, sql: str, build: Callable[[Graph], DataFrame]) -> None:
+    """An objective of a soft pooler over the memberships of SOFT; sql: that of the objective itself."""
+
+    def run(spark, d):
+        return rounded(build(tables.transitions(spark, d)), "loss")
+
+    run.__name__ = name
+    query()(run)
+    _SQL[name] = sql
+
+
+_objective("diff_pool", _SQL["link_pred_loss"], lambda g: poolers.diff(g, 3, LAYERS).loss["link_loss"])
+_objective("dmon_pool", _SQL["spectral_loss"], lambda g: poolers.dmon(g, 3, LAYERS).loss["spectral_loss"])
+_objective("jb_pool", _SQL["just_balance_loss"], lambda g: poolers.jb(g, 3, LAYERS).loss["balance_loss"])
+_objective("acc_pool", _SQL["totvar_loss"], lambda g: poolers.acc(g, 3, LAYERS).loss["total_variation_loss"])
+_CUT = "-num / (den + 1e-8)"
+_HOSC = {n: _SQL[n].replace(f"round({_CUT}, 6)", _CUT) for n in ("mincut_loss", "ho_mincut_loss")}
+_MAIN = "SELECT graph_id, " + _CUT
+_objective("hosc_pool", _HOSC["ho_mincut_loss"].replace(_MAIN, "SELECT graph_id, round(0.5 / 3 * u.loss + 0.5 / 3 * w.loss, 6) AS loss FROM (" + _HOSC["mincut_loss"][_HOSC["mincut_loss"].index(_MAIN) :] + ") u JOIN (" + _MAIN) + ") w USING (graph_id)", lambda g: poolers.hosc(g, 3, LAYERS).loss["hosc_loss"])
+
+_STICKS = [([[0.02, 0.0, 0.01, 0.0], [0.0, 0.03, 0.0, -0.02]], [0.1, 0.0, 0.0, 0.0])]
+_V = f"v1 AS (SELECT graph_id, node_id, {_SP.format('(x0 * 0.02 + 0.1)')} AS a0, {_SP.format('(x1 * 0.03)')} AS a1, {_SP.format('(x0 * 0.01)')} AS b0, {_SP.format('(x1 * -0.02)')} AS b1 FROM n), v2 AS (SELECT graph_id, node_id, a0 / (a0 + b0) AS v0, a1 / (a1 + b1) AS v1 FROM v1), s AS (SELECT graph_id, node_id, CAST(0 AS BIGINT) AS cluster_id, v0 AS weight FROM v2 UNION ALL SELECT graph_id, node_id, 1, (1 - v0) * v1 FROM v2 UNION ALL SELECT graph_id, node_id, 2, (1 - v0) * (1 - v1) FROM v2)"
+_KI = _KM[_KM.index("zz AS") :].replace("JOIN km ON km.i = a.cluster_id JOIN s b ON b.graph_id = a.graph_id AND b.cluster_id = km.j", "JOIN s b ON b.graph_id = a.graph_id").replace("* c *", "* CASE WHEN a.cluster_id = b.cluster_id THEN 1.0 ELSE -1.0 END *")
+
+
+@query(USERS, f"SELECT q.graph_id, round(q.loss, 6) AS quality, round(k.kl / q.c, 6) AS kl, round(364.5 / q.c, 6) AS k_prior FROM (SELECT graph_id, avg(y * sp + (1 - y) * (z + sp)) AS loss, count(*) AS c FROM (SELECT graph_id, y, z, sp FROM yy WHERE y = 1 UNION ALL SELECT graph_id, y, z, sp FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY src, dst) AS r FROM yy WHERE y = 0 AND src <> dst) WHERE r <= 4) GROUP BY graph_id) q JOIN (SELECT graph_id, sum({_kl_sql('a0', 'b0', 1.0, 1.0)} + {_kl_sql('a1', 'b1', 1.0, 1.0)}) AS kl FROM v1 GROUP BY graph_id) k USING (graph_id)", _V + ", " + _KI)
+def bnpool(spark, d):
+    """The three objectives, with non-edges by id."""
+    g = tables.transitions(spark, d)
+    loss = poolers.bnpool(g, 3, _STICKS, negatives=ops.negative_edges(g.nodes, g.edges, 4)).loss
+    parts = [loss[n].select("graph_id", F.col("loss").alias(c)) for n, c in (("quality", "quality"), ("kl", "kl"), ("K_prior", "k_prior"))]
+    return rounded(parts[0].join(parts[1], "graph_id").join(parts[2], "graph_id"), "quality", "kl", "k_prior")
+
+
+@query(CHATS, "SELECT sn.graph_id, src, dst, round(weight / sqrt(greatest(coalesce(a.w, 0), 1e-8)) / sqrt(greatest(coalesce(b.w, 0), 1e-8)), 6) AS weight FROM sn LEFT JOIN dt a ON a.graph_id = sn.graph_id AND a.v = src LEFT JOIN dt b ON b.graph_id = sn.graph_id AND b.v = dst",
+       _LEAD + """, lr AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY node_id) AS rn FROM lead), li AS (SELECT graph_id, node_id AS l, x0, x1, rn, row_number() OVER (PARTITION BY graph_id ORDER BY node_id) - 1 AS cluster_id FROM lr WHERE leader),
+lx AS (SELECT a.graph_id, a.node_id, a.leader, b.l, b.cluster_id, exp((a.x0 * b.x0 + a.x1 * b.x1) / greatest(sqrt(a.x0 * a.x0 + a.x1 * a.x1) * sqrt(b.x0 * b.x0 + b.x1 * b.x1), 1e-8) / greatest(abs(a.rn - b.rn), 1)) AS ex FROM lr a JOIN li b USING (graph_id)),
+s AS (SELECT graph_id, node_id, cluster_id, CASE WHEN leader THEN CASE WHEN node_id = l THEN 1.0 ELSE 0.0 END ELSE ex / sum(ex) OVER (PARTITION BY graph_id, node_id) END AS weight FROM lx), """ + _DENSE + ", dt AS (SELECT graph_id, dst AS v, sum(weight) AS w FROM sn GROUP BY ALL)")
+def lap_pool(spark, d):
+    return rounded(poolers.lap(tables.conversations(spark, d), True).edges, "weight")
+
+
+_NET = {"initial": ([[0.001, 0.0], [0.0, 0.5]], [0.1, -0.1]), "layers": [([[1.0, 0.5], [-0.5, 1.0]], [0.0, 0.1])], "mlp": [([[1.0], [-1.0]], [0.05])], "final": ([[2.0]], [0.1])}
+
+
+@query(CHATS, "SELECT graph_id, node_id, round(tanh(2 * greatest(tanh(p0 - 0.5 * p1) - tanh(0.5 * p0 + p1 + 0.1) + 0.05, 0) + 0.1), 6) AS score FROM mp", _DEG.format("e") + ", dl AS (SELECT e.graph_id, src, dst, weight * 2.0 / sqrt(a.w * b.w) AS weight FROM e JOIN dg a ON a.graph_id = e.graph_id AND a.v = src JOIN dg b ON b.graph_id = e.graph_id AND b.v = dst WHERE src <> dst UNION ALL SELECT graph_id, node_id, node_id, -1.0 FROM n), mp AS (SELECT dl.graph_id, dl.src AS node_id, sum(dl.weight * (0.001 * n.x0 + 0.1)) AS p0, sum(dl.weight * (0.5 * n.x1 - 0.1)) AS p1 FROM dl JOIN n ON n.graph_id = dl.graph_id AND n.node_id = dl.dst GROUP BY ALL)")
+def maxcut_scores(spark, d):
+    """The score network with given weights: affine, propagation, one layer, a final sum."""
+    g = tables.conversations(spark, d)
+    return rounded(select.maxcut_scores(g.nodes, ops.delta_gcn(g.nodes, g.edges, 2.0), _NET), "score")
+
+
 _named("maxcut_pool", lambda spark, d: poolers.maxcut(tables.conversations(spark, d)).edges)
-_named("mincut_pool", lambda spark, d: poolers.mincut(tables.transitions(spark, d), 3).edges)
-_named("diff_pool", lambda spark, d: poolers.diff(tables.transitions(spark, d), 3).loss["link_loss"])
-_named("dmon_pool", lambda spark, d: poolers.dmon(tables.transitions(spark, d), 3).loss["spectral_loss"])
-_named("hosc_pool", lambda spark, d: poolers.hosc(tables.transitions(spark, d), 3).loss["hosc_loss"])
-_named("jb_pool", lambda spark, d: poolers.jb(tables.transitions(spark, d), 3).loss["balance_loss"])
-_named("acc_pool", lambda spark, d: poolers.acc(tables.transitions(spark, d), 3).loss["total_variation_loss"])
-_named("bnpool", lambda spark, d: poolers.bnpool(tables.transitions(spark, d), 3).loss["quality"])
-_named("lap_pool", lambda spark, d: poolers.lap(tables.conversations(spark, d), True).edges)
 _named("ndp_pool", lambda spark, d: poolers.ndp(tables.conversations(spark, d)).edges)
 _named("nmf_select", lambda spark, d: kernels.nmf(*_both(tables.conversations(spark, d)), 2))
 _named("eigen_select", lambda spark, d: kernels.eigen_select(*_both(tables.conversations(spark, d)), 2))
@@ -757,7 +813,12 @@ def precoarsen_identity(spark, d):
     return poolers.tagged(poolers.precoarsened(tables.conversations(spark, d), ["nopool"]), "edges").select("level", "src", "dst", "weight", "graph_id")
 
 
-@query()
+#: The independent set of the graph that the matching leaves (n1, e1), its tables set apart from the matching's.
+_SECOND = re.sub(r"\b(sc|r|z|[lwq]\d+|[mc]\d+_\d+)\b", r"y\1", re.sub(r"\b([ne])\b", r"\g<1>1", _mis_sql(1, 10, _DEGREE_SCORE)))
+
+
+@query(CHATS, "SELECT 0 AS level, graph_id, src, dst, weight FROM p0 UNION ALL SELECT 1, src // 1000, a.c, b.c, sum(weight) FROM e1 JOIN cy a ON a.node_id = src JOIN cy b ON b.node_id = dst WHERE a.c <> b.c GROUP BY ALL",
+       _KEYED.format("weight", "e") + ", " + _matching_sql(12, "s DESC, src, dst", "ke") + ", " + _MATCHED + ", n1 AS MATERIALIZED (SELECT DISTINCT graph_id * 1000 + c AS node_id FROM cm), e1 AS MATERIALIZED (SELECT graph_id * 1000 + src AS src, graph_id * 1000 + dst AS dst, weight FROM p0), " + _SECOND + ", cy AS (SELECT yq1.node_id, i.c FROM yq1 JOIN (SELECT rk, row_number() OVER (PARTITION BY node_id // 1000 ORDER BY node_id) - 1 AS c FROM yz) i ON i.rk = yq1.m)")
 def precoarsen_levels(spark, d):
     return poolers.tagged(poolers.precoarsened(tables.conversations(spark, d), ["graclus", ("kmis", {"order_k": 1})]), "edges")
 
@@ -765,3 +826,87 @@ def precoarsen_levels(spark, d):
 @query(CHATS, "SELECT graph_id, node_id, round(ex / sum(ex) OVER (PARTITION BY graph_id), 6) AS p FROM (SELECT *, exp(x0 / 100 - max(x0 / 100) OVER (PARTITION BY graph_id)) AS ex FROM n)")
 def segment_softmax_nodes(spark, d):
     return rounded(tables.conversations(spark, d).nodes.select("graph_id", "node_id", segment_softmax(F.col("x")[0] / 100, "graph_id").alias("p")), "p")
+
+
+# --- whole assignments, labels and plans -----------------------------------------------------------------------------
+
+
+@query(USERS, "SELECT n.graph_id, n.node_id, coalesce(k.r, 0) AS label FROM n LEFT JOIN (SELECT graph_id, node_id, row_number() OVER (PARTITION BY graph_id ORDER BY node_id) AS r FROM n WHERE x0 > 10) k USING (graph_id, node_id)")
+def one_hot_labels(spark, d):
+    n = tables.transitions(spark, d).nodes
+    return assignments.one_hot_labels(n, n.where(F.col("x")[0] > 10))
+
+
+@query(USERS, "SELECT s.graph_id, node_id, CAST(cluster_id + o.k AS BIGINT) AS cluster_id, weight FROM s JOIN (SELECT graph_id, coalesce(sum(k) OVER (ORDER BY graph_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM (SELECT graph_id, max(cluster_id) + 1 AS k FROM s GROUP BY graph_id)) o USING (graph_id)", HARD)
+def block_clusters(spark, d):
+    return assignments.block_clusters(hard(tables.transitions(spark, d)))
+
+
+@query(CHATS, "SELECT 0 AS part, graph_id, node_id, cluster_id, weight FROM s UNION ALL SELECT 1, graph_id, node_id, cluster_id - min(cluster_id) OVER (PARTITION BY graph_id), weight FROM s", HARD)
+def collate_assigns(spark, d):
+    """Two assignments of all graphs as one table; the second has its clusters numbered from 0 on."""
+    a = hard(tables.conversations(spark, d))
+    both = assignments.collated_assigns([x.withColumn("own", F.col("graph_id")) for x in (a, assignments.rebased(a))])
+    return both.select(F.col("graph_id").cast("int").alias("part"), F.col("own").alias("graph_id"), "node_id", "cluster_id", "weight")
+
+
+@query(USERS, "SELECT e.graph_id, a.c AS src, b.c AS dst, e.weight FROM e JOIN k a ON a.graph_id = e.graph_id AND a.node_id = src JOIN k b ON b.graph_id = e.graph_id AND b.node_id = dst WHERE src <> dst", "k AS (SELECT graph_id, node_id, row_number() OVER (PARTITION BY graph_id ORDER BY node_id) - 1 AS c FROM n WHERE node_id < 6)")
+def compact_supernodes(spark, d):
+    """Supernodes with gaps between their ids, of which a mask lets the first twelve through where they have members."""
+    g = tables.transitions(spark, d)
+    a = cut(g.nodes.select("graph_id", "node_id", (2 * F.col("node_id")).alias("cluster_id"), F.lit(1.0).alias("weight")))
+    p = poolers.by_assignment(g, a)
+    return assignments.compacted(p.nodes, p.edges, ops.out_mask(a, 12)).edges
+
+
+@query(USERS, "SELECT DISTINCT graph_id, node_id % 7 AS child, node_id % 7 % 3 AS parent FROM n")
+def hierarchy_parents(spark, d):
+    n = tables.transitions(spark, d).nodes
+    return assignments.parents(n.select("graph_id", (F.col("node_id") % 7).alias("child"), (F.col("node_id") % 7 % 3).alias("parent")))
+
+
+@query(SUPPLIERS, "SELECT t.graph_id, round(-(a + b) / vol, 6) AS entropy FROM (SELECT graph_id, sum(weight) AS vol FROM ce GROUP BY ALL) t JOIN (SELECT o.graph_id, sum(v * log2(v / vc)) AS a FROM (SELECT graph_id, c, src, sum(weight) AS v FROM ce GROUP BY ALL) o JOIN cv USING (graph_id, c) GROUP BY ALL) USING (graph_id) JOIN (SELECT cv.graph_id, sum(g * log2(vc / (SELECT sum(weight) FROM ce))) AS b FROM cv GROUP BY ALL) USING (graph_id)",
+       HARD + ", ce AS (SELECT e.*, a.cluster_id AS c, b.cluster_id AS d FROM e JOIN s a ON a.node_id = src JOIN s b ON b.node_id = dst WHERE src <> dst), cv AS (SELECT graph_id, c, sum(weight) AS vc, sum(CASE WHEN c <> d THEN weight ELSE 0 END) AS g FROM ce GROUP BY ALL)")
+def tree_entropy(spark, d):
+    g = tables.suppliers(spark, d)
+    return rounded(assignments.partition_entropy(g.edges, hard(g)), "entropy")
+
+
+@query(CHATS, "SELECT e.graph_id, src, dst, round(weight * 0.85 / sqrt(a.w * b.w), 6) AS weight, CAST(src AS DOUBLE) AS a0, CAST(dst * 2 AS DOUBLE) AS a1 FROM e JOIN dg a ON a.graph_id = e.graph_id AND a.v = src JOIN dg b ON b.graph_id = e.graph_id AND b.v = dst WHERE src <> dst UNION ALL SELECT graph_id, node_id, node_id, 0.15, 0.0, 0.0 FROM n", _DEG.format("e"))
+def normalize_adj_attributes(spark, d):
+    g = tables.conversations(spark, d)
+    e = g.edges.withColumn("attr", F.array(F.col("src").cast("double"), 2.0 * F.col("dst")))
+    out = ops.delta_gcn_attributes(g.nodes, e, 2, 0.85)
+    return rounded(out.select("graph_id", "src", "dst", "weight", F.col("attr")[0].alias("a0"), F.col("attr")[1].alias("a1")), "weight")
+
+
+@query(USERS, "SELECT graph_id, round(p, 6) AS share, CASE WHEN p < 0.5 THEN 'dense' ELSE 'sparse' END AS method, CAST(CASE WHEN p < 0.5 THEN c * (c - 1) WHEN p <= CAST(2 AS DOUBLE) / 3 THEN 15 ELSE floor(10 / p) END AS BIGINT) AS tries FROM (SELECT g.graph_id, c, 1 - coalesce(m, 0) / greatest(c * (c - 1), 1) AS p FROM (SELECT graph_id, count(*) AS c FROM n GROUP BY ALL) g LEFT JOIN (SELECT graph_id, count(*) AS m FROM e WHERE src <> dst GROUP BY ALL) USING (graph_id))")
+def negative_sampling_plan(spark, d):
+    g = tables.transitions(spark, d)
+    return rounded(ops.sampling_plan(g.nodes, g.edges, 10), "share")
+
+
+@query(None, "SELECT (d + l * sqrt(d)) / n AS within, (d - l * sqrt(d)) / n AS between_blocks FROM (VALUES (CAST(10 AS DOUBLE), CAST(1 AS DOUBLE), CAST(100 AS DOUBLE))) t(d, l, n)")
+def csbm_probabilities(spark, d):
+    inside, outside = generators.edge_probabilities(10, 1, 100)
+    return spark.range(1).select(F.lit(inside).alias("within"), F.lit(outside).alias("between_blocks"))
+
+
+_GSET = [(1, 2, 1.0), (1, 3, -1.0), (2, 4, 2.5), (5, 4, 1.0)]
+
+
+@query(None, "WITH t AS (SELECT * FROM (VALUES " + ", ".join(f"({u}, {v}, CAST({w} AS DOUBLE))" for u, v, w in _GSET) + ") t(u, v, w)) SELECT CAST(0 AS BIGINT) AS graph_id, CAST(u - 1 AS BIGINT) AS src, CAST(v - 1 AS BIGINT) AS dst, w AS weight FROM t UNION ALL SELECT 0, v - 1, u - 1, w FROM t")
+def gset_parse(spark, d):
+    """A text file with its header and a line that is no edge."""
+    path = scratch(spark, "gset")
+    spark.createDataFrame([("6 4",), *((f"{u} {v} {w}",) for u, v, w in _GSET), ("a comment of more than three words",)], "value string").coalesce(1).write.text(path)
+    return generators.gset(spark, path).edges
+
+
+for _kind, _made in {"path": "SELECT i AS s, i + 1 AS t FROM (SELECT unnest(range(0, 8)) AS i)", "full": "SELECT i AS s, j AS t FROM (SELECT unnest(range(0, 9)) AS i), (SELECT unnest(range(0, 9)) AS j) WHERE i < j"}.items():
+
+    def _generated(spark, d, kind=_kind):
+        return getattr(generators, kind)(spark, 9).edges.drop("weight")
+
+    _generated.__name__ = f"generator_{_kind}"
+    query(None, f"WITH u AS ({_made}) SELECT CAST(0 AS BIGINT) AS graph_id, s AS src, t AS dst FROM u UNION ALL SELECT 0, t, s FROM u")(_generated)

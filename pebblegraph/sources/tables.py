@@ -29,8 +29,8 @@ def suppliers(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(n, _co_occurrence(spark, sf_dir, "l_suppkey", 1))
 
 
-def parts(spark: SparkSession, sf_dir: str, least: int = 2) -> Graph:
-    """Parts that share at least ``least`` orders."""
+def parts(spark: SparkSession, sf_dir: str, least: int = 1) -> Graph:
+    """Parts that share orders, ``least`` of them or more."""
     n = table(spark, sf_dir, "part").select(F.lit(0).cast("long").alias("graph_id"), F.col("p_partkey").alias("node_id"), _x(F.col("p_size"), F.floor("p_retailprice")))
     return Graph(n, _co_occurrence(spark, sf_dir, "l_partkey", least))
 
