@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import EPS, w_or_1
-from ..plans.fixpoint import ranked
+from ..plans.fixpoint import cut, ranked
 
 REDUCERS = {"sum": F.sum, "add": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "mul": F.product}
 
@@ -137,6 +137,29 @@ def negative_edges(nodes: DataFrame, edges: DataFrame, per_graph: int, order: st
     return out.union(out.select("graph_id", F.col("dst"), F.col("src"))) if force_undirected else out
 
 
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_id, node_id, component: the smallest node of its connected component.
+
+    Large-star and small-star rounds (Kiveris et al. 2014) over edges alone, so no component is held in one task, and
+    rounds grow with the logarithm of the longest path.
+    """
+    here = cut(edges.where("src <> dst").select("graph_id", F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    before = None
+    while True:
+        now = tuple(here.agg(F.count(F.lit(1)), F.sum(F.xxhash64("graph_id", "u", "v").cast("decimal(38,0)"))).first())
+        if now == before or not now[0]:
+            break
+        before = now
+        both = here.union(here.select("graph_id", F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("graph_id", "u").agg(F.min("v").alias("m")).select("graph_id", "u", F.least("u", "m").alias("m"))
+        large = both.join(least, ["graph_id", "u"]).where("v > u and v <> m").select("graph_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("graph_id", "u").agg(F.min("v").alias("m"))
+        small = large.join(low, ["graph_id", "u"]).where("v <> m").select("graph_id", F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("graph_id", "u", F.col("m").alias("v")))
+        here = cut(small.distinct())
+    found = here.groupBy("graph_id", F.col("u").alias("node_id")).agg(F.min("v").alias("component"))
+    return nodes.select("graph_id", "node_id").join(found, ["graph_id", "node_id"], "left").withColumn("component", F.coalesce("component", "node_id"))
+
+
 def sampling_plan(nodes: DataFrame, edges: DataFrame, wanted: int, low: float = 0.5, high: float = 2 / 3) -> DataFrame:
     """graph_id, share (of ordered pairs that are no edges), method, tries, for ``wanted`` pairs of each graph without an edge.
 

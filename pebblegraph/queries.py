@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.columns import segment_softmax
+from .functions.columns import hashed_weights, segment_softmax
 from .graph import Graph
 from .operators import assignments, connect, convolve, kernels, losses, ops, reduce, select
 from .operators.lift import eigen_lifted, lifted
@@ -595,12 +595,6 @@ def lift_inverse_hard(spark, d):
     return flat(lifted(reduce.reduced(g.nodes, hard(g), "sum", 2), hard(g), g.nodes, 2, "inverse"), 2, 6)
 
 
-@query()
-def lift_inverse_soft(spark, d):
-    g = tables.transitions(spark, d)
-    return flat(lifted(reduce.reduced(g.nodes, soft(g), "sum", 2), soft(g), g.nodes, 2, "soft_inverse"))
-
-
 # --- objectives ------------------------------------------------------------------------------------------------------
 
 _DOT = "ed AS (SELECT e.graph_id, src, dst, e.weight AS w, sum(a.weight * b.weight) AS v, sum(abs(a.weight - b.weight)) AS t FROM e JOIN s a ON a.graph_id = e.graph_id AND a.node_id = src JOIN s b ON b.graph_id = e.graph_id AND b.node_id = dst AND b.cluster_id = a.cluster_id GROUP BY ALL), dd AS (SELECT graph_id, src AS node_id, sum(weight) AS d FROM e GROUP BY ALL), ss AS (SELECT graph_id, node_id, sum(weight * weight) AS q FROM s GROUP BY ALL), gr AS (SELECT a.graph_id, a.cluster_id AS k, b.cluster_id AS l, sum(a.weight * b.weight) AS g FROM s a JOIN s b ON a.graph_id = b.graph_id AND a.node_id = b.node_id GROUP BY ALL)"
@@ -778,15 +772,16 @@ def lap_pool(spark, d):
 _NET = {"initial": ([[0.001, 0.0], [0.0, 0.5]], [0.1, -0.1]), "layers": [([[1.0, 0.5], [-0.5, 1.0]], [0.0, 0.1])], "mlp": [([[1.0], [-1.0]], [0.05])], "final": ([[2.0]], [0.1])}
 
 
-@query(CHATS, "SELECT graph_id, node_id, round(tanh(2 * greatest(tanh(p0 - 0.5 * p1) - tanh(0.5 * p0 + p1 + 0.1) + 0.05, 0) + 0.1), 6) AS score FROM mp", _DEG.format("e") + ", dl AS (SELECT e.graph_id, src, dst, weight * 2.0 / sqrt(a.w * b.w) AS weight FROM e JOIN dg a ON a.graph_id = e.graph_id AND a.v = src JOIN dg b ON b.graph_id = e.graph_id AND b.v = dst WHERE src <> dst UNION ALL SELECT graph_id, node_id, node_id, -1.0 FROM n), mp AS (SELECT dl.graph_id, dl.src AS node_id, sum(dl.weight * (0.001 * n.x0 + 0.1)) AS p0, sum(dl.weight * (0.5 * n.x1 - 0.1)) AS p1 FROM dl JOIN n ON n.graph_id = dl.graph_id AND n.node_id = dl.dst GROUP BY ALL)")
+_MAXCUT = _DEG.format("e") + ", dl AS (SELECT e.graph_id, src, dst, weight * 2.0 / sqrt(a.w * b.w) AS weight FROM e JOIN dg a ON a.graph_id = e.graph_id AND a.v = src JOIN dg b ON b.graph_id = e.graph_id AND b.v = dst WHERE src <> dst UNION ALL SELECT graph_id, node_id, node_id, -1.0 FROM n), mp AS (SELECT dl.graph_id, dl.src AS node_id, sum(dl.weight * (0.001 * n.x0 + 0.1)) AS p0, sum(dl.weight * (0.5 * n.x1 - 0.1)) AS p1 FROM dl JOIN n ON n.graph_id = dl.graph_id AND n.node_id = dl.dst GROUP BY ALL)"
+
+
+@query(CHATS, "SELECT graph_id, node_id, round(tanh(2 * greatest(tanh(p0 - 0.5 * p1) - tanh(0.5 * p0 + p1 + 0.1) + 0.05, 0) + 0.1), 6) AS score FROM mp", _MAXCUT)
 def maxcut_scores(spark, d):
     """The score network with given weights: affine, propagation, one layer, a final sum."""
     g = tables.conversations(spark, d)
     return rounded(select.maxcut_scores(g.nodes, ops.delta_gcn(g.nodes, g.edges, 2.0), _NET), "score")
 
 
-_named("maxcut_pool", lambda spark, d: poolers.maxcut(tables.conversations(spark, d)).edges)
-_named("ndp_pool", lambda spark, d: poolers.ndp(tables.conversations(spark, d)).edges)
 _named("nmf_select", lambda spark, d: kernels.nmf(*_both(tables.conversations(spark, d)), 2))
 _named("eigen_select", lambda spark, d: kernels.eigen_select(*_both(tables.conversations(spark, d)), 2))
 _named("eigen_reduce", lambda spark, d: flat(poolers.eigen(tables.conversations(spark, d), 2, 2).nodes, 4))
@@ -794,8 +789,6 @@ _named("eigen_lift", lambda spark, d: _eigen_lift(tables.conversations(spark, d)
 _named("sep_select", lambda spark, d: kernels.sep(*_both(tables.conversations(spark, d))))
 _named("sep_levels", lambda spark, d: kernels.sep_levels(*_both(tables.conversations(spark, d)), 2))
 _named("dp_sample", lambda spark, d: select.dp_select(tables.transitions(spark, d).nodes, [([[0.02, 0.0, 0.01, 0.0], [0.0, 0.03, 0.0, -0.02]], None)], seed=1))
-_named("readout_lstm", lambda spark, d: flat(reduce.readout(tables.conversations(spark, d).nodes, "lstm", None, 2).withColumn("node_id", F.lit(0)), 2))
-_named("readout_set2set", lambda spark, d: flat(reduce.readout(tables.conversations(spark, d).nodes, "set2set", None, 2).withColumn("node_id", F.lit(0)), 4))
 _named("pooler_abilities", lambda spark, d: poolers.abilities(spark))
 
 
@@ -910,3 +903,123 @@ for _kind, _made in {"path": "SELECT i AS s, i + 1 AS t FROM (SELECT unnest(rang
 
     _generated.__name__ = f"generator_{_kind}"
     query(None, f"WITH u AS ({_made}) SELECT CAST(0 AS BIGINT) AS graph_id, s AS src, t AS dst FROM u UNION ALL SELECT 0, t, s FROM u")(_generated)
+
+
+# --- learned readouts, distances and components ----------------------------------------------------------------------
+
+
+def _columns(rows: DataFrame, dims: int) -> DataFrame:
+    return rows.select("graph_id", *(F.round(F.col("x")[i], 6).alias(f"x{i}") for i in range(dims)))
+
+
+@query(USERS, "SELECT graph_id, sum(x0) AS x0, sum(x1) AS x1, round(avg(x0), 6) AS x2, round(avg(x1), 6) AS x3, max(x0) AS x4, max(x1) AS x5 FROM n GROUP BY graph_id")
+def readout_multi(spark, d):
+    return _columns(reduce.readout(tables.transitions(spark, d).nodes, "multi", None, 2), 6)
+
+
+@query(USERS, "SELECT graph_id, round(0.5 * h0 - 0.25 * h1, 6) AS x0 FROM (SELECT graph_id, sum(greatest(0.1 * x0 - 0.2 * x1, 0)) AS h0, sum(greatest(0.3 * x1 - 0.1 * x0, 0)) AS h1 FROM n GROUP BY graph_id)")
+def readout_deep_sets(spark, d):
+    return _columns(reduce.readout(tables.transitions(spark, d).nodes, "deep_sets", None, 2, inner=[[0.1, -0.1], [-0.2, 0.3]], outer=[[0.5], [-0.25]]), 1)
+
+
+@query(USERS, "SELECT graph_id, round(0.5 * sum(tanh(0.1 * x0 - 0.2 * x1)), 6) AS x0 FROM n GROUP BY graph_id")
+def readout_mlp(spark, d):
+    return _columns(reduce.readout(tables.transitions(spark, d).nodes, "mlp", None, 2, inner=[[0.1], [-0.2]], outer=[[0.5]], act="tanh"), 1)
+
+
+@query(USERS, "SELECT graph_id, round(sum(g * x0) / sum(g), 6) AS x0, round(sum(g * x1) / sum(g), 6) AS x1 FROM (SELECT *, exp(0.1 * x0 - 0.2 * x1) AS g FROM n) GROUP BY graph_id")
+def readout_attentional(spark, d):
+    return _columns(reduce.readout(tables.transitions(spark, d).nodes, "attentional", None, 2, gate=[0.1, -0.2]), 2)
+
+
+def _gate(inputs: list[str], states: list[str], weights: dict, j: int) -> tuple[str, str]:
+    """The two parts of a recurrent unit's gate in SQL: from its inputs and from its states."""
+    return tuple("(" + " + ".join(f"{v} * ({w[i][j]!r})" for i, v in enumerate(names)) + ")" for names, w in ((inputs, weights["in"]), (states, weights["own"])))
+
+
+def _sigmoid(*parts: str) -> str:
+    return f"(1 / (1 + exp(-({' + '.join(parts)}))))"
+
+
+def _lstm_cell(inputs: list[str], states: list[str], memory: list[str], w: dict) -> tuple[list[str], list[str]]:
+    c = [f"({_sigmoid(*_gate(inputs, states, w, 2 + k))} * {memory[k]} + {_sigmoid(*_gate(inputs, states, w, k))} * tanh({' + '.join(_gate(inputs, states, w, 4 + k))}))" for k in (0, 1)]
+    return [f"({_sigmoid(*_gate(inputs, states, w, 6 + k))} * tanh({c[k]}))" for k in (0, 1)], c
+
+
+def _gru_cell(inputs: list[str], states: list[str], w: dict) -> list[str]:
+    out = []
+    for k in (0, 1):
+        z, (a, b) = _sigmoid(*_gate(inputs, states, w, 2 + k)), _gate(inputs, states, w, 4 + k)
+        out.append(f"((1 - {z}) * tanh({a} + {_sigmoid(*_gate(inputs, states, w, k))} * {b}) + {z} * {states[k]})")
+    return out
+
+
+_X, _S, _C = ["q.x0", "q.x1"], ["r.s0", "r.s1"], ["r.c0", "r.c1"]
+_LSTM_W, _GRU_W, _SET_W = ({"in": hashed_weights(ins, gates * 2, 1), "own": hashed_weights(2, gates * 2, 2)} for ins, gates in ((2, 4), (2, 3), (4, 4)))
+
+
+def _unrolled(state: list[str], memory: list[str]) -> str:
+    """A recurrent reader in SQL: one step of a recursion for each node of a graph, in their order."""
+    return f"WITH RECURSIVE {USERS}, sq AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY node_id) AS t FROM n), r AS (SELECT graph_id, CAST(0 AS BIGINT) AS t, CAST(0 AS DOUBLE) AS s0, CAST(0 AS DOUBLE) AS s1, CAST(0 AS DOUBLE) AS c0, CAST(0 AS DOUBLE) AS c1 FROM (SELECT DISTINCT graph_id FROM n) UNION ALL SELECT q.graph_id, q.t, {state[0]}, {state[1]}, {memory[0]}, {memory[1]} FROM r JOIN sq q ON q.graph_id = r.graph_id AND q.t = r.t + 1) SELECT graph_id, round(s0, 6) AS x0, round(s1, 6) AS x1 FROM r QUALIFY row_number() OVER (PARTITION BY graph_id ORDER BY t DESC) = 1"
+
+
+@query(None, _unrolled(*_lstm_cell(_X, _S, _C, _LSTM_W)))
+def readout_lstm(spark, d):
+    return _columns(reduce.readout(tables.transitions(spark, d).nodes, "lstm", None, 2, weights=_LSTM_W), 2)
+
+
+@query(None, _unrolled(_gru_cell(_X, _S, _GRU_W), _C))
+def readout_gru(spark, d):
+    return _columns(reduce.readout(tables.transitions(spark, d).nodes, "gru", None, 2, weights=_GRU_W), 2)
+
+
+_SET = _lstm_cell(["0", "0", "m0", "m1"], ["0", "0"], ["0", "0"], _SET_W)[0]
+
+
+@query(USERS, "SELECT graph_id, round(any_value(s0), 6) AS x0, round(any_value(s1), 6) AS x1, round(sum(g * x0) / sum(g), 6) AS x2, round(sum(g * x1) / sum(g), 6) AS x3 FROM (SELECT *, exp(x0 * s0 + x1 * s1 - max(x0 * s0 + x1 * s1) OVER (PARTITION BY graph_id)) AS g FROM n JOIN st USING (graph_id)) GROUP BY graph_id",
+       f"mn AS (SELECT graph_id, avg(x0) AS m0, avg(x1) AS m1 FROM n GROUP BY graph_id), st AS (SELECT graph_id, {_SET[0]} AS s0, {_SET[1]} AS s1 FROM mn)")
+def readout_set2set(spark, d):
+    """Two steps: the first attends to all nodes alike, as states start from zero."""
+    return _columns(reduce.readout(tables.transitions(spark, d).nodes, "set2set", None, 2, weights=_SET_W), 4)
+
+
+@query(CHATS, "SELECT a.graph_id, a.node_id, b.node_id AS leader, abs(a.t - b.t) AS hops FROM sq a JOIN sq b ON a.graph_id = b.graph_id AND b.node_id % 3 = 0", "sq AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY node_id) AS t FROM n)")
+def hop_distances(spark, d):
+    """Breadth-first distances to every third turn; a conversation is a path."""
+    g = tables.conversations(spark, d)
+    return kernels.hops(g.nodes, g.edges, g.nodes.where("node_id % 3 = 0"))
+
+
+@query(None, f"WITH RECURSIVE {CHATS}, h AS (SELECT graph_id, src, dst FROM e WHERE src % 3 <> 2 AND dst % 3 <> 2), r AS (SELECT graph_id, node_id, node_id AS c FROM n UNION SELECT h.graph_id, h.dst, r.c FROM r JOIN h ON h.graph_id = r.graph_id AND h.src = r.node_id) SELECT graph_id, node_id, min(c) AS component FROM r GROUP BY ALL")
+def graph_components(spark, d):
+    """Components of conversations that lose the edges of every third turn."""
+    g = tables.conversations(spark, d)
+    return ops.components(g.nodes, g.edges.where("src % 3 <> 2 and dst % 3 <> 2"))
+
+
+@query(CHATS, "SELECT graph_id, c AS src, c + 1 AS dst, CAST(0.5 AS DOUBLE) AS weight FROM ps UNION ALL SELECT graph_id, c + 1, c, 0.5 FROM ps", "ps AS (SELECT graph_id, unnest(range(0, CAST(ceil(count(*) / 2.0) AS BIGINT) - 1)) AS c FROM n GROUP BY graph_id)")
+def ndp_pool(spark, d):
+    """On a path the split is every other node; a node that goes leaves half its two unit weights between its neighbours."""
+    return rounded(poolers.ndp(tables.conversations(spark, d)).edges, "weight")
+
+
+_PICK = "SELECT graph_id, dst AS node_id, cluster_id FROM (SELECT e.graph_id, e.dst, k.cluster_id, row_number() OVER (PARTITION BY e.graph_id, e.dst ORDER BY count(*) DESC, k.cluster_id) AS r FROM e JOIN {0} k ON k.graph_id = e.graph_id AND k.node_id = e.src LEFT JOIN {0} o ON o.graph_id = e.graph_id AND o.node_id = e.dst WHERE o.node_id IS NULL GROUP BY e.graph_id, e.dst, k.cluster_id) WHERE r = 1"
+
+
+@query(CHATS, "SELECT graph_id, src, dst, round(weight / max(abs(weight)) OVER (PARTITION BY graph_id), 6) AS weight FROM (SELECT e.graph_id, a.cluster_id AS src, b.cluster_id AS dst, sum(weight) AS weight FROM e JOIN k5 a ON a.graph_id = e.graph_id AND a.node_id = src JOIN k5 b ON b.graph_id = e.graph_id AND b.node_id = dst WHERE a.cluster_id <> b.cluster_id GROUP BY ALL)",
+       _MAXCUT + ", sc AS (SELECT graph_id, node_id, tanh(2 * greatest(tanh(p0 - 0.5 * p1) - tanh(0.5 * p0 + p1 + 0.1) + 0.05, 0) + 0.1) AS s FROM mp), k0 AS (SELECT graph_id, node_id, row_number() OVER (PARTITION BY graph_id ORDER BY s DESC, node_id) - 1 AS cluster_id FROM sc QUALIFY cluster_id < ceil(0.5 * count(*) OVER (PARTITION BY graph_id))), " + ", ".join(f"k{i + 1} AS MATERIALIZED (SELECT * FROM k{i} UNION ALL {_PICK.format(f'k{i}')})" for i in range(5)))
+def maxcut_pool(spark, d):
+    return rounded(poolers.maxcut(tables.conversations(spark, d), net=_NET).edges, "weight")
+
+
+_TWO = "s AS (SELECT graph_id, node_id, CAST(0 AS BIGINT) AS cluster_id, (1 + node_id % 3) / 4.0 AS weight FROM n UNION ALL SELECT graph_id, node_id, 1, 1 - (1 + node_id % 3) / 4.0 FROM n)"
+
+
+@query(USERS, "SELECT graph_id, node_id, round(r0 * p.x0 + r1 * q.x0, 6) AS x0, round(r0 * p.x1 + r1 * q.x1, 6) AS x1 FROM iv JOIN (SELECT * FROM px WHERE cluster_id = 0) p USING (graph_id) JOIN (SELECT * FROM px WHERE cluster_id = 1) q USING (graph_id)",
+       _TWO + ", " + _PX + ", w AS (SELECT graph_id, node_id, (1 + node_id % 3) / 4.0 AS a, 1 - (1 + node_id % 3) / 4.0 AS b FROM n), gm AS (SELECT graph_id, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, count(*) AS c FROM w GROUP BY graph_id), iv AS (SELECT graph_id, node_id, CASE WHEN aa * bb - ab * ab > 1e-9 THEN (a * bb - b * ab) / (aa * bb - ab * ab) ELSE a / (c * (a * a + b * b)) END AS r0, CASE WHEN aa * bb - ab * ab > 1e-9 THEN (b * aa - a * ab) / (aa * bb - ab * ab) ELSE b / (c * (a * a + b * b)) END AS r1 FROM w JOIN gm USING (graph_id))")
+def lift_inverse_soft(spark, d):
+    """Two memberships a node, whose Gram matrix has a closed inverse; where all rows are equal, the inverse of rank one."""
+    g = tables.transitions(spark, d)
+    a = (1 + F.col("node_id") % 3) / 4.0
+    s = g.nodes.select("graph_id", "node_id", F.posexplode(F.array(a, 1 - a)).alias("cluster_id", "weight")).withColumn("cluster_id", F.col("cluster_id").cast("long"))
+    return flat(lifted(reduce.reduced(g.nodes, s, "sum", 2), s, g.nodes, 2, "soft_inverse"), 2, 6)
