@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .word_cache import WordCache, gathered, slices
+from .word_cache import WordCache, gathered, joined, slices
 
 #: Words that are encoded as one string.
 RUN = 128
@@ -29,7 +29,7 @@ class ByteBpe:
     ``cached``: words that are kept at most, if a slice had them twice; all others are encoded anew each time.
     """
 
-    def __init__(self, path: str, special_as_text: bool = True, cached: int = 400_000) -> None:
+    def __init__(self, path: str, special_as_text: bool = True, cached: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -52,8 +52,7 @@ class ByteBpe:
         """The same of a space and each of these words; none is empty or ends in white space."""
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        names = words.to_pylist()
-        ids, _ = self._each([" " + " ".join(names[i : i + RUN]) for i in range(0, len(names), RUN)])
+        ids, _ = self._each([" " + run for run in joined(words, " ", RUN)])
         ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(np.asarray(pc.binary_length(words)) + 1)) + 1
         return ids, np.diff(ends, prepend=0)
 

@@ -37,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .word_cache import WordCache, gathered, slices
+from .word_cache import WordCache, gathered, joined, slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
-KEPT = 400_000
+KEPT = 250_000
 #: Characters of a word that is relaxed together with others, at most.
 LONG = 64
 #: Words that are relaxed together.
@@ -414,8 +414,7 @@ class PieceFst:
         size = np.asarray(pc.utf8_length(words)).astype(np.int64) + 1
         long = np.nonzero(size > LONG)[0]
         table = words if not len(long) else pc.if_else(pa.array(size > LONG), "", words)
-        text = table.to_pylist()
-        codes = _codes("".join([MARK + w for w in text]))
+        codes = _codes(MARK + joined(table, MARK, len(table))[0])
         short = np.where(size > LONG, 1, size)
         symbol, place = self._paths(codes, short)
         ids, count = self._emitted(symbol, codes[place])

@@ -44,6 +44,12 @@ def gathered(ids: np.ndarray, size: np.ndarray, rows: np.ndarray) -> tuple[np.nd
     return ids[np.repeat(start[rows] - (end - n), n) + np.arange(end[-1] if len(end) else 0)], end
 
 
+def joined(words: pa.Array, between: str, run: int) -> list[str]:
+    """Runs of words, each as one string."""
+    edge = np.append(np.arange(0, len(words), run), len(words)).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(edge), words), between).to_pylist()
+
+
 def slices(column: pa.Array, at_once: int) -> list[tuple[int, int]]:
     """Runs of rows that hold about ``at_once`` bytes, one row at least."""
     ends = np.cumsum(np.asarray(pc.binary_length(column)))
