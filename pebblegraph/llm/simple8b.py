@@ -45,22 +45,20 @@ def _selectors(ids: np.ndarray, left: np.ndarray) -> np.ndarray:
     width, n = _widths(ids), len(ids)
     best = np.zeros(n, np.uint8)
     best[width <= 60] = 15
-    spans = {1: width}
-    at = 1
-    while at * 2 <= 60 and at * 2 <= n:
-        x = spans[at]
-        spans[at * 2] = np.concatenate([np.maximum(x[:-at], x[at:]), x[-at:]])
-        at *= 2
-    least = int(width.min()) if n else 0
-    for s in reversed(ORDER[:-2]):
+    # the widest of the 1, 2, 4, ... ids from each position; past the end it does not matter, as left is too small there
+    at, widest = 1, width
+    for s in reversed(ORDER[:-2]):  # ever more values of ever fewer bits: where none fits, none of the next ones does
         c = int(COUNT[s])
-        if BITS[s] < least:
-            continue
-        p = 1 << (c.bit_length() - 1)
-        if p not in spans:
-            continue  # fewer ids than the selector holds
-        x = spans[p]
-        most = np.maximum(x, np.concatenate([x[c - p :], np.zeros(c - p, np.uint8)])) if c > p else x
+        while at * 2 <= c and at * 2 <= n:
+            more = widest.copy()
+            np.maximum(widest[:-at], widest[at:], out=more[:-at])
+            at, widest = at * 2, more
+        if c > n or int(widest.min()) > BITS[s]:
+            break
+        most = widest
+        if c > at:
+            most = widest.copy()
+            np.maximum(widest[: at - c], widest[c - at :], out=most[: at - c])
         best[(most <= BITS[s]) & (left >= c)] = s
     return best
 
@@ -75,7 +73,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]
     ends = np.minimum(np.arange(1, blocks + 1) * block, n)
     left = (np.repeat(ends, np.diff(np.concatenate([[0], ends]))) - np.arange(n)).astype(np.int32)
     sel = _selectors(ids, left)
-    step = COUNT[sel]
+    step = COUNT.astype(np.uint8)[sel]
     at, starts, which = np.arange(blocks) * block, [], []
     live = np.arange(blocks)
     while len(live):  # all blocks in step; each round places one word in each
