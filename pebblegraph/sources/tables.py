@@ -17,11 +17,21 @@ def _x(*cols) -> F.Column:
     return F.array(*(c.cast("double") for c in cols)).alias("x")
 
 
+#: Lines of orders in a task, before they meet.
+LINES = 250_000
+
+
 def _co_occurrence(spark: SparkSession, sf_dir: str, key: str, least: int) -> DataFrame:
-    pairs = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col(key).alias("k")).distinct()
+    """Keys that share orders. Lines are dealt once, over as many tasks as there are LINES, as each meets all of its order.
+
+    A pair is counted in one direction, then told in both.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col(key).alias("k")).where("l_orderkey is not null and k is not null")
+    pairs = lines.repartition(table(spark, sf_dir, "lineitem").count() // LINES + 1, "l_orderkey").distinct()
     a, b = pairs.withColumnRenamed("k", "src"), pairs.withColumnRenamed("k", "dst")
-    e = a.join(b, "l_orderkey").where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return e.where(F.col("weight") >= least).select(F.lit(0).cast("long").alias("graph_id"), "src", "dst", "weight")
+    half = a.join(b, "l_orderkey").where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight")).where(F.col("weight") >= least)
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return half.select("weight", F.inline(ways)).select(F.lit(0).cast("long").alias("graph_id"), "src", "dst", "weight")
 
 
 def suppliers(spark: SparkSession, sf_dir: str) -> Graph:
