@@ -47,3 +47,36 @@ def test_nearest_pairs_are_not_listed_one_by_one(spark, tables):
 
     plan = t.nearest(spark, tables).edges._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
+
+
+def test_orders_are_dealt_over_tasks_in_proportion(spark, tmp_path, monkeypatch):
+    """No task meets more than its share of the lines, whatever the session's shuffle partitions are."""
+    from pebblegraph.sources import tables as t
+
+    lines = [(o, (o * 7 + i * i) % 23 if i else None, 0) for o in range(200) for i in range(5)] + [(None, 1, 0), (None, 2, 0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(t, "LINES", 100)
+    e = t._co_occurrence(spark, str(tmp_path), "l_partkey", 1)
+    assert "RepartitionByExpression [l_orderkey" in (plan := e._jdf.queryExecution().optimizedPlan().toString()) and ", 11" in plan
+    want = {}
+    for o in range(200):
+        keys = {k for p, k, _ in lines if p == o and k is not None}
+        for a in keys:
+            for b in keys - {a}:
+                want[a, b] = want.get((a, b), 0.0) + 1
+    assert {(r.src, r.dst): r.weight for r in e.collect()} == want and e.count() == len(want)
+
+
+def test_degrees_read_edges_that_are_made_once(spark):
+    from pebblegraph.operators import ops
+
+    made = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    e = spark.createDataFrame([(0, 0, 1, 4.0), (0, 1, 0, 4.0)], "graph_id long, src long, dst long, weight double").mapInArrow(tell, "graph_id long, src long, dst long, weight double")
+    assert [r.weight for r in ops.degree_normed(e).collect()] == [1.0, 1.0]
+    assert made.value == 2
