@@ -80,3 +80,73 @@ def test_degrees_read_edges_that_are_made_once(spark):
     e = spark.createDataFrame([(0, 0, 1, 4.0), (0, 1, 0, 4.0)], "graph_id long, src long, dst long, weight double").mapInArrow(tell, "graph_id long, src long, dst long, weight double")
     assert [r.weight for r in ops.degree_normed(e).collect()] == [1.0, 1.0]
     assert made.value == 2
+
+
+EDGES = "graph_id long, src long, dst long, weight double"
+
+
+def told(spark, rows):
+    """Edges, and how many of them plans have made so far."""
+    made = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    return spark.createDataFrame(rows, EDGES).mapInArrow(tell, EDGES), made
+
+
+def path_rows(n):
+    return [(0, a, b, 1.0) for i in range(n - 1) for a, b in ((i, i + 1), (i + 1, i))]
+
+
+@pytest.mark.parametrize(("order_k", "reads"), [(1, 1), (2, 4)])
+def test_rounds_of_an_independent_set_read_what_is_left(spark, order_k, reads):
+    """On a path with rising ranks each round takes one node, so rounds that read all edges read them some 5 times and more."""
+    from pebblegraph.operators import select
+
+    e, made = told(spark, path_rows(12))
+    nodes = spark.createDataFrame([(0, i, i) for i in range(12)], "graph_id long, node_id long, rank long")
+    got = sorted(r.node_id for r in select.independent_set(nodes, e, nodes, order_k).collect())
+    assert got == list(range(0, 12, order_k + 1))
+    assert made.value <= reads * 22
+
+
+def test_propagation_reads_edges_into_nodes_that_are_left(spark):
+    from pebblegraph.operators import select
+
+    e, made = told(spark, path_rows(9))
+    nodes = spark.createDataFrame([(0, i, [1.0]) for i in range(9)], "graph_id long, node_id long, x array<double>")
+    kept = spark.createDataFrame([(0, 0, 7)], "graph_id long, node_id long, cluster_id long")
+    assert sorted((r.node_id, r.cluster_id) for r in select.assign_all(nodes, e, kept, 8).collect()) == [(i, 7) for i in range(9)]
+    assert made.value <= 3 * 16
+
+
+def test_one_direction_of_an_undirected_graph_is_matched(spark):
+    from pebblegraph.operators import select
+
+    rows = [(0, a, b, float((a * b) % 3 + 1)) for a in range(9) for b in range(9) if a != b and (a + b) % 4]
+    e = spark.createDataFrame(rows, EDGES)
+    nodes = spark.createDataFrame([(0, i) for i in range(9)], "graph_id long, node_id long")
+    clusters = [sorted(map(tuple, select.graclus(nodes, e, spread=True, ties="hash", symmetric=s).collect())) for s in (True, False)]
+    assert clusters[0] == clusters[1]
+    with pytest.raises(ValueError, match="symmetric"):
+        select.graclus(nodes, e, symmetric=True)
+
+
+def test_loops_match_themselves_and_equal_ranks_are_refused(spark):
+    from pebblegraph.operators import select
+
+    e = spark.createDataFrame([(0, 1, 1, 0), (0, 1, 2, 1), (0, 2, 3, 2), (1, 1, 2, 0)], "graph_id long, src long, dst long, rank long")
+    assert sorted(map(tuple, select.matching(e).collect())) == [(0, 1, 1, 0), (0, 2, 3, 2), (1, 1, 2, 0)]
+    with pytest.raises(RuntimeError, match="unique"):
+        select.matching(spark.createDataFrame([(0, 1, 2, 0), (0, 3, 4, 0)], e.schema)).collect()
+
+
+def test_ranks_by_ranges_are_those_of_a_window(spark):
+    from pebblegraph.plans.fixpoint import ranked
+
+    df = spark.createDataFrame([(i % 3 if i % 7 else None, (i * 37) % 101) for i in range(400)], "g long, v long").withColumn("u", F.monotonically_increasing_id())
+    a, b = (sorted(map(tuple, ranked(df, ["g"], [F.col("v").desc(), F.col("u")], "r", s).select("g", "v", "u", "r").collect()), key=repr) for s in (True, False))
+    assert a == b
