@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,27 +105,59 @@ def _sequence(rows: DataFrame, keys: list[str], dims: int, name: str, weights: d
     def cell(x, s, c):
         if name == "gru":
             a, b = x @ wi, s @ wo
-            r, z = sig(a[:out] + b[:out]), sig(a[out : 2 * out] + b[out : 2 * out])
-            return (1 - z) * np.tanh(a[2 * out :] + r * b[2 * out :]) + z * s, c
-        i, f, g, o = np.split(x @ wi + s @ wo, 4)
+            r, z = sig(a[..., :out] + b[..., :out]), sig(a[..., out : 2 * out] + b[..., out : 2 * out])
+            return (1 - z) * np.tanh(a[..., 2 * out :] + r * b[..., 2 * out :]) + z * s, c
+        i, f, g, o = np.split(x @ wi + s @ wo, 4, axis=-1)
         c = sig(f) * c + sig(i) * np.tanh(g)
         return sig(o) * np.tanh(c), c
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("node_id")[[f"x{i}" for i in range(dims)]].to_numpy()
         s, c = np.zeros(out), np.zeros(out)
-        if name == "set2set":
-            q = np.zeros(2 * dims)
-            for _ in range(steps):
-                s, c = cell(q, s, c)
-                a = np.exp(x @ s - (x @ s).max())
-                q = np.concatenate([s, (a / a.sum()) @ x])
-            s = q
-        else:
-            for row in x:
-                s, c = cell(row, s, c)
-        return pd.DataFrame([[*key, s.tolist()]], columns=[*keys, "x"])
-
+        q = np.zeros(2 * dims)
+        for _ in range(steps):
+            s, c = cell(q, s, c)
+            a = np.exp(x @ s - (x @ s).max())
+            q = np.concatenate([s, (a / a.sum()) @ x])
+        return pd.DataFrame([[*key, q.tolist()]], columns=[*keys, "x"])
+
+    def read(batches):
+        """Rows come group by group: a step takes the next row of every group of a batch, and the last group's state goes on."""
+        last, s0, c0 = None, np.zeros(out), np.zeros(out)
+
+        def told(keys_of: pa.Table, s: np.ndarray) -> pa.RecordBatch:
+            x = pa.ListArray.from_arrays(pa.array(np.arange(0, s.size + 1, out), pa.int32()), pa.array(s.ravel(), pa.float64()))
+            return pa.RecordBatch.from_arrays([*(keys_of.column(k) for k in keys), x], names=[*keys, "x"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            fresh = np.zeros(b.num_rows, bool)
+            for i, k in enumerate(keys):
+                v, null = pc.fill_null(b.column(k), 0).to_numpy(zero_copy_only=False), b.column(k).is_null().to_numpy(zero_copy_only=False)
+                fresh[1:] |= (v[1:] != v[:-1]) | (null[1:] != null[:-1])
+                fresh[0] |= last is None or last.column(k)[0].as_py() != b.column(k)[0].as_py()
+            if fresh[0] and last is not None:
+                yield told(last, s0[None])
+            starts = np.flatnonzero(np.r_[True, fresh[1:]])
+            size = np.diff(np.r_[starts, b.num_rows])
+            x = np.stack([b.column(f"x{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(dims)], axis=1)
+            s, c = np.zeros((len(starts), out)), np.zeros((len(starts), out))
+            if not fresh[0]:
+                s[0], c[0] = s0, c0
+            on = np.arange(len(starts))
+            for t in range(size.max()):
+                on = on[size[on] > t]
+                s[on], c[on] = cell(x[starts[on] + t], s[on], c[on])
+            if len(starts) > 1:
+                yield told(b.take(pa.array(starts[:-1])), s[:-1])
+            last, s0, c0 = b.slice(b.num_rows - 1, 1), s[-1], c[-1]
+        if last is not None:
+            yield told(last, s0[None])
+
+    if name != "set2set":
+        ordered = rows.repartition(*keys).sortWithinPartitions(*keys, F.col("node_id").asc_nulls_last())
+        return ordered.select(*(F.col(k).cast("long").alias(k) for k in keys), *(F.col(f"x{i}").cast("double").alias(f"x{i}") for i in range(dims))).mapInArrow(read, ", ".join(f"{k} long" for k in keys) + ", x array<double>")
     return rows.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} long" for k in keys) + ", x array<double>")
 
 

@@ -150,3 +150,23 @@ def test_ranks_by_ranges_are_those_of_a_window(spark):
     df = spark.createDataFrame([(i % 3 if i % 7 else None, (i * 37) % 101) for i in range(400)], "g long, v long").withColumn("u", F.monotonically_increasing_id())
     a, b = (sorted(map(tuple, ranked(df, ["g"], [F.col("v").desc(), F.col("u")], "r", s).select("g", "v", "u", "r").collect()), key=repr) for s in (True, False))
     assert a == b
+
+
+@pytest.mark.parametrize("name", ["lstm", "gru"])
+def test_recurrent_readers_take_groups_over_batches(spark, name):
+    """No task makes a table of each group; a group's state goes from one batch to the next."""
+    from pebblegraph.operators import reduce
+
+    rows = [(g if g else None, i, float((g * 7 + i * i) % 5), float(i % 3)) for g in range(9) for i in range(1 + 5 * (g % 3))]
+    df = spark.createDataFrame(rows, "graph_id long, node_id long, x0 double, x1 double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        out = reduce.aggregated(df, ["graph_id"], 2, name)
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got = {r.graph_id: r.x for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 9
+    for g in range(9):
+        one = spark.createDataFrame([r for r in rows if r[0] == (g or None)], df.schema)
+        assert got[g or None] == pytest.approx(reduce.aggregated(one, ["graph_id"], 2, name).first().x)
