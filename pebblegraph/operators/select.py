@@ -192,8 +192,8 @@ def edge_scores(nodes: DataFrame, edges: DataFrame, p: list[float], method: str
     return e.select("graph_id", "src", "dst", (score + add).alias("score"))
 
 
-def edge_order(best: Column, ties: str = "id") -> list[Column]:
-    """Edges from the best to the worst; equal ones by their ends, or by a hash of the pair.
+def ranked_edges(edges: DataFrame, best: str, ties: str = "id", spread: bool = False) -> DataFrame:
+    """Edges with their rank in the graph, from the best to the worst; equal ones by their ends, or by a hash of the pair.
 
     A matching's rounds follow the longest run of falling ranks along a path. Ends run along paths where many edges are equal,
     so the rounds grow with the graph; a hash keeps them to its logarithm.
@@ -201,20 +201,21 @@ def edge_order(best: Column, ties: str = "id") -> list[Column]:
     if ties not in ("id", "hash"):
         raise ValueError(f"no tie rule {ties}; there are id and hash")
     if ties == "id":
-        return [best.desc(), F.col("src"), F.col("dst")]
-    return [best.desc(), F.md5(F.concat_ws(":", F.least("src", "dst").cast("string"), F.greatest("src", "dst").cast("string"))), F.col("src")]
+        return ranked(edges, ["graph_id"], [F.col(best).desc(), F.col("src"), F.col("dst")], "rank", spread)
+    pair = F.md5(F.concat_ws(":", F.least("src", "dst").cast("string"), F.greatest("src", "dst").cast("string")))
+    # bytes compare as their hexadecimal digits do
+    return ranked(edges, ["graph_id"], [F.col(best).desc(), F.col("_pair"), F.col("src")], "rank", spread, {"_pair": F.unhex(pair)})
 
 
 def edge_contraction(nodes: DataFrame, scored: DataFrame, spread: bool = False, ties: str = "id") -> DataFrame:
-    """Greedy matching of scored edges (graph_id, src, dst, score), the best first; pairs become supernodes. ties: see edge_order()."""
-    r = ranked(scored, ["graph_id"], edge_order(F.col("score"), ties), "rank", spread)
-    r = cut(r)
+    """Greedy matching of scored edges (graph_id, src, dst, score), the best first; pairs become supernodes. ties: see ranked_edges()."""
+    r = cut(ranked_edges(scored, "score", ties, spread))
     won = matching(r).join(r.select("graph_id", "rank", "score"), ["graph_id", "rank"])
     return matched_clusters(nodes, won, scores=True, spread=spread)
 
 
 def graclus(nodes: DataFrame, edges: DataFrame, spread: bool = False, ties: str = "id", symmetric: bool = False) -> DataFrame:
-    """Heavy-edge matching, the heaviest first: a deterministic form of randomised greedy clustering. ties: see edge_order().
+    """Heavy-edge matching, the heaviest first: a deterministic form of randomised greedy clustering. ties: see ranked_edges().
 
     symmetric: each edge has its reverse, of the same weight. With ties by hash, that from the larger end comes right after
     the other and joins nothing, so it is left out.
@@ -222,7 +223,7 @@ def graclus(nodes: DataFrame, edges: DataFrame, spread: bool = False, ties: str
     if symmetric and ties != "hash":
         raise ValueError("symmetric needs ties by hash")
     e = (edges.where("src < dst") if symmetric else remove_self_loops(edges)).select("graph_id", "src", "dst", w_or_1().alias("w"))
-    r = ranked(e, ["graph_id"], edge_order(F.col("w"), ties), "rank", spread)
+    r = ranked_edges(e, "w", ties, spread)
     return matched_clusters(nodes, matching(r if spread else stored(r)), spread=spread)
 
 

@@ -49,24 +49,30 @@ def unioned(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
     return empty.limit(0) if out is None else out
 
 
-def ranked(df: DataFrame, group: list[str], order: list[Column], name: str, spread: bool = False) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: list[Column], name: str, spread: bool = False, once: dict[str, Column] | None = None) -> DataFrame:
     """Position (from 0) of each row in its group.
 
+    once: columns that the order names and that are dear to compute. A sort computes an expression anew in each comparison,
+    so they are computed once a row before it, and left out of the result.
+
     Groups of graph size are ranked by one window. spread: groups may be as large as the table, so rows are sorted by ranges
     over all tasks, numbered in each, and shifted by the counts of the ranges before: no task holds a group.
     """
+    once = once or {}
+    columns = [c for c in df.columns if c != name]
+    df = df.withColumns(once) if once else df
     if not spread:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long") - 1)
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long") - 1).drop(*once)
     keys = [*(F.col(g) for g in group), *order]
     # an id is the number of its range, then 33 bits of its row there
-    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()).drop(*once)
     local = stored(dealt).withColumn("_part", F.shiftright("_id", 33)).withColumn("_own", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
     counts = local.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("count"), F.min("_own").alias("_first"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = stored(counts.select("_part", *group, (F.coalesce(F.sum("count").over(before), F.lit(0)) - F.col("_first")).alias("_shift")))
     same = [local[c].eqNullSafe(shift[c]) for c in group]
     out = local.join(shift, [local["_part"] == shift["_part"], *same])
-    return out.select(*(local[c] for c in df.columns if c != name), (F.col("_own") + F.col("_shift")).cast("long").alias(name))
+    return out.select(*(local[c] for c in columns), (F.col("_own") + F.col("_shift")).cast("long").alias(name))
 
 
 def running_sums(df: DataFrame, order: str, value: str, name: str) -> DataFrame:

@@ -335,7 +335,7 @@ def kmis_canonical(spark, d):
     return select.kmis(g.nodes, stored(g.edges), 1, "canonical", None, spread=True)[1]
 
 
-#: Equal edges by a hash of the pair, see edge_order().
+#: Equal edges by a hash of the pair, see ranked_edges().
 _TIES = "md5(least(src, dst) || ':' || greatest(src, dst)), src"
 
 
@@ -352,11 +352,9 @@ def _matching_sql(rounds: int, order: str, source: str = "e WHERE src <> dst") -
 
 @query(PARTS, "SELECT CAST(0 AS BIGINT) AS graph_id, src, dst FROM z", _matching_sql(16, "weight DESC, " + _TIES))
 def matching_by_weight(spark, d):
-    from .plans.fixpoint import ranked
-
     e = tables.parts(spark, d).edges
     e = e.where("src < dst")  # its reverse has the same weight, comes right after it and joins nothing
-    return select.matching(ranked(e, ["graph_id"], select.edge_order(F.col("weight"), "hash"), "rank", True)).drop("rank")
+    return select.matching(select.ranked_edges(e, "weight", "hash", True)).drop("rank")
 
 
 @query(PARTS, "SELECT CAST(0 AS BIGINT) AS graph_id, node_id, c AS cluster_id, CAST(1 AS DOUBLE) AS weight FROM cl", _matching_sql(16, "weight DESC, " + _TIES))

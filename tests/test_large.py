@@ -170,3 +170,20 @@ def test_recurrent_readers_take_groups_over_batches(spark, name):
     for g in range(9):
         one = spark.createDataFrame([r for r in rows if r[0] == (g or None)], df.schema)
         assert got[g or None] == pytest.approx(reduce.aggregated(one, ["graph_id"], 2, name).first().x)
+
+
+@pytest.mark.parametrize("spread", [True, False])
+def test_a_pair_is_hashed_once_and_not_in_each_comparison(spark, spread):
+    """A sort computes its expressions anew in each comparison, so it is given columns."""
+    import hashlib
+
+    from pebblegraph.operators import select
+
+    rows = [(0, a, b, float((a * b) % 3 + 1)) for a in range(9) for b in range(9) if a != b and (a + b) % 4]
+    out = select.ranked_edges(spark.createDataFrame(rows, EDGES), "weight", "hash", spread)
+    assert out.columns == ["graph_id", "src", "dst", "weight", "rank"]
+    tie = lambda r: hashlib.md5(f"{min(r[1:3])}:{max(r[1:3])}".encode()).hexdigest()
+    want = sorted(rows, key=lambda r: (-r[3], tie(r), r[1]))
+    assert [tuple(r)[:4] for r in sorted(out.collect(), key=lambda r: r["rank"])] == want
+    sorts = [line for line in select.ranked_edges(spark.createDataFrame(rows, EDGES), "weight", "hash")._jdf.queryExecution().executedPlan().toString().splitlines() if "Sort [" in line or "Window [" in line]
+    assert sorts and not any("md5" in line for line in sorts)
