@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 from math import log2
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from ..graph import w_or_1
 ASSIGN = "graph_id long, node_id long, cluster_id long, weight double"
 #: Nodes of a graph that a task may hold as a dense matrix (0.8 GB).
 LARGEST = 10_000
+#: Distances that are handed over at once.
+ROWS = 50_000
 
 
 def _fits(key: tuple, n: int) -> None:
@@ -367,22 +370,47 @@ def sep_levels(nodes: DataFrame, edges: DataFrame, levels: int) -> DataFrame:
     return _per_graph(nodes, edges, run, "graph_id long, level int, child long, parent long")
 
 
+def _distances(graph_id: int | None, leaders: list[int], near: dict[int, list[int]]) -> list[tuple]:
+    out = []
+    for leader in leaders:
+        seen, here, far = {leader: 0}, [leader], 0
+        while here:
+            far += 1
+            here = [d for d in dict.fromkeys(d for s in here for d in near.get(s, [])) if d not in seen]
+            seen.update(dict.fromkeys(here, far))
+        out += [(graph_id, k, leader, h) for k, h in seen.items()]
+    return out
+
+
 def hops(nodes: DataFrame, edges: DataFrame, leaders: DataFrame) -> DataFrame:
-    """graph_id, node_id, leader, hops: breadth-first distances to each leader within reach."""
-    flags = nodes.select("graph_id", "node_id").join(leaders.select("graph_id", "node_id", F.lit(True).alias("leader")), ["graph_id", "node_id"], "left")
+    """graph_id, node_id, leader, hops: breadth-first distances to each leader within reach.
 
-    def kernel(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for s, d in zip(e["src"].tolist(), e["dst"].tolist()):
-            near.setdefault(s, []).append(d)
-        out = []
-        for leader in sorted(n["node_id"][n["leader"].notna()].tolist()):
-            seen, here, far = {leader: 0}, [leader], 0
-            while here:
-                far += 1
-                here = [d for d in dict.fromkeys(d for s in here for d in near.get(s, [])) if d not in seen]
-                seen.update(dict.fromkeys(here, far))
-            out += [(key[0], k, leader, h) for k, h in seen.items()]
-        return pd.DataFrame(out, columns=["graph_id", "node_id", "leader", "hops"])
-
-    return flags.groupBy("graph_id").cogroup(edges.select(F.col("graph_id").alias("_g"), "src", "dst").groupBy("_g")).applyInPandas(kernel, "graph_id long, node_id long, leader long, hops long")
+    Graphs come one after the other in sorted batches, a leader without ``dst`` before the edges, so that no table is made
+    for each; a task holds one graph.
+    """
+    lead = leaders.join(nodes.select("graph_id", "node_id"), ["graph_id", "node_id"], "left_semi").select("graph_id", F.col("node_id").alias("src"), F.lit(None).cast("long").alias("dst"))
+    rows = lead.unionByName(edges.where("dst is not null").select("graph_id", "src", "dst")).repartition("graph_id").sortWithinPartitions("graph_id", F.col("dst").asc_nulls_first(), "src")
+    schema = pa.schema([(c, pa.int64()) for c in ("graph_id", "node_id", "leader", "hops")])
+
+    def told(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, first, found, near, out = None, [], False, {}, []
+        for b in batches:
+            for g, s, d in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if not found or g != current:
+                    out += _distances(current, first, near)
+                    current, first, found, near = g, [], True, {}
+                    if len(out) >= ROWS:
+                        yield told(out)
+                        out = []
+                if d is None:
+                    first.append(s)
+                else:
+                    near.setdefault(s, []).append(d)
+        out += _distances(current, first, near)
+        if out:
+            yield told(out)
+
+    return rows.mapInArrow(run, "graph_id long, node_id long, leader long, hops long")

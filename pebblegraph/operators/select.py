@@ -352,12 +352,13 @@ def lapool_leaders(nodes: DataFrame, edges: DataFrame, dims: int) -> DataFrame:
     return lead.join(some, "graph_id").select("graph_id", "node_id", "v", (F.col("_l") | (F.col("_some") == 0)).alias("leader"))
 
 
-def lapool(nodes: DataFrame, edges: DataFrame, dims: int, hops: DataFrame | None = None) -> DataFrame:
+def lapool(nodes: DataFrame, edges: DataFrame, dims: int, hops: DataFrame | None = None, lead: DataFrame | None = None) -> DataFrame:
     """Soft memberships: softmax over the graph's leaders of cosine similarity; leaders belong to themselves.
 
     hops: (graph_id, node_id, leader, hops) divides each similarity by the distance, where it is 1 or more.
+    lead: the rows of lapool_leaders(), where they are there already.
     """
-    lead = cut(lapool_leaders(nodes, edges, dims))
+    lead = cut(lapool_leaders(nodes, edges, dims)) if lead is None else lead
     ids = ranked(lead.where("leader"), ["graph_id"], [F.col("node_id")], "cluster_id").select("graph_id", F.col("node_id").alias("leader"), "cluster_id")
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, b: a + b * b))
     n = nodes.select("graph_id", "node_id", "x")

@@ -202,8 +202,10 @@ def bnpool(g: Graph, k: int, layers: list | None = None, k_init: float = 1.0, se
 
 def lap(g: Graph, shortest_path_reg: bool = False) -> Pooled:
     dims = width(g.nodes)
-    far = kernels.hops(g.nodes, g.edges, select.lapool_leaders(g.nodes, g.edges, dims).where("leader")) if shortest_path_reg else None
-    return _soft(g, cut(select.lapool(g.nodes, g.edges, dims, far)), dims)
+    g = Graph(stored(g.nodes), stored(g.edges))  # leaders, memberships and connections read them several times
+    lead = stored(select.lapool_leaders(g.nodes, g.edges, dims))
+    far = kernels.hops(g.nodes, g.edges, lead.where("leader")) if shortest_path_reg else None
+    return _soft(g, stored(select.lapool(g.nodes, g.edges, dims, far, lead)), dims)
 
 
 def by_assignment(g: Graph, assign: DataFrame, red: str = "sum", con: str | None = "sum", soft: bool = False, **post) -> Pooled:

@@ -187,3 +187,23 @@ def test_a_pair_is_hashed_once_and_not_in_each_comparison(spark, spread):
     assert [tuple(r)[:4] for r in sorted(out.collect(), key=lambda r: r["rank"])] == want
     sorts = [line for line in select.ranked_edges(spark.createDataFrame(rows, EDGES), "weight", "hash")._jdf.queryExecution().executedPlan().toString().splitlines() if "Sort [" in line or "Window [" in line]
     assert sorts and not any("md5" in line for line in sorts)
+
+
+def test_distances_take_graphs_over_batches(spark, monkeypatch):
+    """No task makes a table of each graph; a graph goes from one batch to the next."""
+    from pebblegraph.operators import kernels
+
+    monkeypatch.setattr(kernels, "ROWS", 5)
+    size = {0: 7, 1: 1, 2: 4, 3: 12, 9: 2}
+    e = spark.createDataFrame([(g, *r[1:]) for g, n in size.items() for r in path_rows(n)] + [(4, 0, 1, 1.0)], EDGES)
+    nodes = spark.createDataFrame([(g, i) for g, n in size.items() for i in range(n)] + [(3, 50), (4, 0), (4, 1)], "graph_id long, node_id long")
+    leaders = nodes.where("node_id in (1, 3, 50) and graph_id <> 9")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        out = kernels.hops(nodes, e, leaders)
+        assert "InPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted(map(tuple, out.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(g, i, k, abs(i - k)) for g, n in size.items() for k in (1, 3) for i in range(n) if g != 9 and k < n]
+    assert got == sorted([*want, (3, 50, 50, 0), (4, 1, 1, 0)])
