@@ -72,13 +72,17 @@ def mis_scores(nodes: DataFrame, edges: DataFrame, scorer: str = "degree", p: li
 
 
 def heuristic(scores: DataFrame, edges: DataFrame, order_k: int = 1, kind: str | None = "greedy") -> DataFrame:
-    """score / k, where k is 1 (greedy) or the score (w-greedy) summed over order_k steps of in-neighbours."""
+    """score / k, where k is 1 (greedy) or the score (w-greedy) summed over order_k steps of in-neighbours.
+
+    scores may bring the in-edges of each node as ``near``, which is the first step of greedy.
+    """
     if kind is None:
         return scores
     if kind not in ("greedy", "w-greedy"):
         raise ValueError(f"no heuristic {kind}")
-    k = scores.select("graph_id", "node_id", (F.lit(1.0) if kind == "greedy" else F.col("score")).alias("k"))
-    for _ in range(order_k):
+    told = kind == "greedy" and order_k > 0 and "near" in scores.columns
+    k = scores.select("graph_id", "node_id", (1.0 + F.col("near") if told else F.lit(1.0) if kind == "greedy" else F.col("score")).alias("k"))
+    for _ in range(order_k - told):
         got = edges.join(k.withColumnRenamed("node_id", "src"), ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.sum("k").alias("more"))
         k = k.join(got, ["graph_id", "node_id"], "left").select("graph_id", "node_id", (F.col("k") + F.coalesce("more", F.lit(0.0))).alias("k"))
     return scores.join(k, ["graph_id", "node_id"]).select("graph_id", "node_id", (F.col("score") / F.col("k")).alias("score"))
@@ -132,14 +136,69 @@ def independent_set(nodes: DataFrame, edges: DataFrame, ranks: DataFrame, order_
     return unioned(found, live)
 
 
-def kmis(nodes: DataFrame, edges: DataFrame, order_k: int = 1, scorer: str | DataFrame = "degree", score_heuristic: str | None = "greedy", force_undirected: bool = False, spread: bool = False, p: list[float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(assign, members): each node joins the member of least rank within order_k edges; weights are the raw scores."""
+def both_ways(half: DataFrame) -> DataFrame:
+    """Each pair of an undirected graph in both directions."""
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return half.select("graph_id", F.inline(ways), "weight")
+
+
+def oriented(half: DataFrame, ranks: DataFrame) -> DataFrame:
+    """graph_id, src, dst, rank: each pair of an undirected graph once, from its end of lower rank, which is carried."""
+    r = ranks.select("graph_id", "node_id", "rank")
+    e = half.select("graph_id", "src", "dst")
+    for end, name in (("src", "_a"), ("dst", "_b")):
+        e = e.join(r.select("graph_id", F.col("node_id").alias(end), F.col("rank").alias(name)), ["graph_id", end])
+    up = F.col("_a") < F.col("_b")
+    return e.select("graph_id", F.when(up, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("dst"), F.least("_a", "_b").alias("rank"))
+
+
+def oriented_set(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
+    """independent_set() with order_k 1 of an undirected graph, from oriented() pairs.
+
+    A live node joins if no pair of live nodes ends at it. The nodes that it covers rank after it, so one direction will do.
+    """
+    live, e, found = stored(ranks.select("graph_id", "node_id", "rank")), pairs, []
+    while not live.isEmpty():
+        after = e.select("graph_id", F.col("dst").alias("node_id")).distinct()
+        won = stored(live.join(after, ["graph_id", "node_id"], "left_anti"))
+        if won.isEmpty():
+            raise RuntimeError("no live node has the least rank within reach: ranks are not unique")
+        found.append(won)
+        near = e.join(won.select("graph_id", F.col("node_id").alias("src")), ["graph_id", "src"], "left_semi")
+        cover = stored(near.select("graph_id", F.col("dst").alias("node_id")).distinct())
+        live = stored(live.join(won.select("graph_id", "node_id").union(cover), ["graph_id", "node_id"], "left_anti"))
+        for end in ("dst", "src"):  # pairs from a node that joined end at one that is covered
+            e = e.join(cover.withColumnRenamed("node_id", end), ["graph_id", end], "left_anti")
+        e = stored(e.select("graph_id", "src", "dst", "rank"))
+    return unioned(found, live)
+
+
+def kmis(nodes: DataFrame, edges: DataFrame, order_k: int = 1, scorer: str | DataFrame = "degree", score_heuristic: str | None = "greedy", force_undirected: bool = False, spread: bool = False, p: list[float] | None = None, symmetric: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(assign, members): each node joins the member of least rank within order_k edges; weights are the raw scores.
+
+    symmetric: each edge has its reverse, of the same weight. With order_k 1, each pair is then kept once, from its lower rank.
+    """
     e = remove_self_loops(undirected(edges) if force_undirected else edges)
-    scores = scorer if isinstance(scorer, DataFrame) else mis_scores(nodes, e, scorer, p)
+    once = symmetric and order_k == 1
+    if once:
+        half = stored(e.where("src < dst").select("graph_id", "src", "dst", "weight"))
+        e = both_ways(half)
+    if scorer == "degree" and score_heuristic == "greedy":  # one look at the edges for both
+        near = e.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.sum(w_or_1()).alias("d"), F.count(F.lit(1)).alias("near"))
+        scores = nodes.select("graph_id", "node_id").join(near, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.coalesce("d", F.lit(0.0)).alias("score"), F.coalesce("near", F.lit(0)).alias("near"))
+    else:
+        scores = scorer if isinstance(scorer, DataFrame) else mis_scores(nodes, e, scorer, p)
     scores = stored(scores)
     r = stored(ranked(heuristic(scores, e, order_k, score_heuristic), ["graph_id"], [F.col("score").desc(), F.col("node_id")], "rank", spread))
-    members = stored(independent_set(nodes, e, r, order_k))
-    seen = _least_around(nodes.select("graph_id", "node_id").join(members, ["graph_id", "node_id"], "left"), e, order_k)
+    if once:
+        pairs = stored(oriented(half, r))
+        members = stored(oriented_set(pairs, r))
+        # the least member around a node that is none ranks before it
+        near = pairs.join(members.select("graph_id", F.col("node_id").alias("src")), ["graph_id", "src"], "left_semi")
+        seen = members.select("graph_id", "node_id", F.col("rank").alias("least")).union(near.groupBy("graph_id", F.col("dst").alias("node_id")).agg(F.min("rank").alias("least")))
+    else:
+        members = stored(independent_set(nodes, e, r, order_k))
+        seen = _least_around(nodes.select("graph_id", "node_id").join(members, ["graph_id", "node_id"], "left"), e, order_k)
     ids = ranked(members, ["graph_id"], [F.col("node_id")], "cluster_id", spread).select("graph_id", F.col("rank").alias("least"), "cluster_id")
     return seen.join(ids, ["graph_id", "least"]).join(scores, ["graph_id", "node_id"]).select("graph_id", "node_id", "cluster_id", F.col("score").cast("double").alias("weight")), members
 

@@ -320,7 +320,7 @@ _KMIS_OUT = "SELECT CAST(0 AS BIGINT) AS graph_id, q.node_id, CAST(i.c AS BIGINT
 @query(PARTS, _KMIS_OUT.format(k=1), _mis_sql(1, 12, _DEGREE_SCORE))
 def kmis_degree_k1(spark, d):
     g = tables.parts(spark, d)
-    return select.kmis(g.nodes, stored(g.edges), 1, spread=True)[0]
+    return select.kmis(g.nodes, g.edges, 1, spread=True, symmetric=True)[0]
 
 
 @query(PARTS, _KMIS_OUT.format(k=2), _mis_sql(2, 9, _DEGREE_SCORE_2))
@@ -332,7 +332,7 @@ def kmis_degree_k2(spark, d):
 @query(PARTS, "SELECT CAST(0 AS BIGINT) AS graph_id, node_id, rk AS rank FROM z", _mis_sql(1, 14, "SELECT node_id, CAST(-node_id AS DOUBLE) AS s, CAST(-node_id AS DOUBLE) AS h FROM n"))
 def kmis_canonical(spark, d):
     g = tables.parts(spark, d)
-    return select.kmis(g.nodes, stored(g.edges), 1, "canonical", None, spread=True)[1]
+    return select.kmis(g.nodes, g.edges, 1, "canonical", None, spread=True, symmetric=True)[1]
 
 
 #: Equal edges by a hash of the pair, see ranked_edges().

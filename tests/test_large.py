@@ -207,3 +207,19 @@ def test_distances_take_graphs_over_batches(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = [(g, i, k, abs(i - k)) for g, n in size.items() for k in (1, 3) for i in range(n) if g != 9 and k < n]
     assert got == sorted([*want, (3, 50, 50, 0), (4, 1, 1, 0)])
+
+
+@pytest.mark.parametrize(("scorer", "kind"), [("degree", "greedy"), ("canonical", None)])
+def test_an_undirected_graph_is_read_once_and_kept_in_one_direction(spark, scorer, kind):
+    from pebblegraph.operators import select
+
+    r = np.random.default_rng(3)
+    half = {(int(min(p)), int(max(p))) for p in r.integers(0, 40, (90, 2)) if p[0] != p[1]}
+    rows = [(0, a, b, float((x * y) % 4 + 1)) for x, y in sorted(half) for a, b in ((x, y), (y, x))] + [(0, 3, 3, 5.0)]
+    e, made = told(spark, rows)
+    nodes = spark.createDataFrame([(0, i) for i in range(36)] + [(0, 77)], "graph_id long, node_id long")  # some ends are no nodes
+    out = select.kmis(nodes, e, 1, scorer, kind, spread=True, symmetric=True)
+    got = [sorted(map(tuple, df.collect())) for df in out]
+    assert made.value == len(rows)
+    assert [list(map(tuple, sorted(df.collect()))) for df in select.kmis(nodes, e, 1, scorer, kind, spread=True)] == got
+    assert len(got[0]) == 37
