@@ -17,19 +17,23 @@ def _x(*cols) -> F.Column:
     return F.array(*(c.cast("double") for c in cols)).alias("x")
 
 
-#: Lines of orders in a task, before they meet.
-LINES = 250_000
+#: Lines of orders in a task, and in a task that counts the pairs that they make.
+LINES = 125_000
 
 
 def _co_occurrence(spark: SparkSession, sf_dir: str, key: str, least: int) -> DataFrame:
     """Keys that share orders. Lines are dealt once, over as many tasks as there are LINES, as each meets all of its order.
 
-    A pair is counted in one direction, then told in both.
+    A pair is counted in one direction, then told in both. Pairs are dealt over as many tasks as lines, whatever the session's
+    shuffle partitions are, and not counted before: few meet again among LINES, and a table of those that do not is all that
+    a task would hold.
     """
+    tasks = table(spark, sf_dir, "lineitem").count() // LINES + 1
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col(key).alias("k")).where("l_orderkey is not null and k is not null")
-    pairs = lines.repartition(table(spark, sf_dir, "lineitem").count() // LINES + 1, "l_orderkey").distinct()
-    a, b = pairs.withColumnRenamed("k", "src"), pairs.withColumnRenamed("k", "dst")
-    half = a.join(b, "l_orderkey").where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight")).where(F.col("weight") >= least)
+    orders = lines.repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("k")).alias("_ks"))
+    first = orders.select("_ks", F.posexplode("_ks").alias("_i", "src"))
+    pairs = first.select("src", F.explode(F.slice("_ks", F.col("_i") + 2, F.size("_ks"))).alias("dst")).repartition(tasks, "src", "dst")
+    half = pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight")).where(F.col("weight") >= least)
     ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return half.select("weight", F.inline(ways)).select(F.lit(0).cast("long").alias("graph_id"), "src", "dst", "weight")
 

@@ -67,6 +67,25 @@ def test_orders_are_dealt_over_tasks_in_proportion(spark, tmp_path, monkeypatch)
     assert {(r.src, r.dst): r.weight for r in e.collect()} == want and e.count() == len(want)
 
 
+def test_pairs_are_counted_over_tasks_in_proportion(spark, tmp_path, monkeypatch):
+    """No task counts more than its share of the pairs, whatever the session's shuffle partitions (4 here) are."""
+    from pebblegraph.sources import tables as t
+
+    lines = [(o, o * 10 + i % 5) for o in range(200) for i in range(7)] + [(o, 5) for o in range(200)] + [(900, 5), (None, 1), (901, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(t, "LINES", 100)
+    e = t._co_occurrence(spark, str(tmp_path), "l_suppkey", 1)
+    want = {}
+    for o in range(200):
+        keys = {k for p, k in lines if p == o}
+        for a in keys:
+            for b in keys - {a}:
+                want[a, b] = want.get((a, b), 0.0) + 1
+    assert {(r.src, r.dst): r.weight for r in e.collect()} == want and e.count() == len(want)
+    shares = [r["count"] for r in e.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) > 12 and max(shares) < sum(shares) / 6
+
+
 def test_degrees_read_edges_that_are_made_once(spark):
     from pebblegraph.operators import ops
 
