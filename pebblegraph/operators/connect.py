@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import EPS, w_or_1
+from ..plans.fixpoint import hashed
 from .ops import coalesced, degree_normed, max_normed, propagated
 
 
 def relabelled(edges: DataFrame, assign: DataFrame) -> DataFrame:
     """Edges between clusters, one row for each edge whose ends are both assigned."""
-    a = assign.select("graph_id", "node_id", "cluster_id")
+    a = hashed(assign.select("graph_id", "node_id", "cluster_id"), "graph_id", "node_id")
     e = edges.select("graph_id", "src", "dst", "weight").join(a.select("graph_id", F.col("node_id").alias("src"), F.col("cluster_id").alias("cs")), ["graph_id", "src"])
     e = e.join(a.select("graph_id", F.col("node_id").alias("dst"), F.col("cluster_id").alias("cd")), ["graph_id", "dst"])
     return e.select("graph_id", F.col("cs").alias("src"), F.col("cd").alias("dst"), "weight")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import activation, affine, dot, mlp, segment_softmax, softmax, stick_breaking
 from ..graph import w_or_1
-from ..plans.fixpoint import cut, ranked, stored, unioned
+from ..plans.fixpoint import cut, hashed, ranked, stored, unioned
 from .convolve import weighted_sum
 from .ops import degree, remove_self_loops, softmaxed, undirected
 
@@ -53,7 +53,7 @@ def topk(scores: DataFrame, ratio: float | int | None = 0.5, min_score: float |
         r = ranked(s, ["graph_id"], [F.col("score").desc(), F.col("node_id")], "cluster_id", spread)
         return r.where((F.col("score") > min_score) | (F.col("cluster_id") == 0)).select("graph_id", "node_id", "cluster_id", F.col("score").alias("weight"))
     r = ranked(scores, ["graph_id"], [F.col("score").desc(), F.col("node_id")], "cluster_id", spread)
-    size = scores.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n"))
+    size = hashed(r.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n")), "graph_id") if spread else scores.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n"))
     limit = F.ceil(F.lit(float(ratio)) * F.col("_n")) if ratio < 1 else F.lit(int(ratio))
     return r.join(size, "graph_id").where(F.col("cluster_id") < limit).select("graph_id", "node_id", "cluster_id", F.col("score").cast("double").alias("weight"))
 

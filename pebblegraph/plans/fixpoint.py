@@ -42,6 +42,25 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a hashed table in a task.
+HASHED = 1_000_000
+
+
+def hashed(few: DataFrame, *keys: str) -> DataFrame:
+    """A table of one row a key (of nodes, say), made ready to be joined with a far longer one (of edges).
+
+    A merge join sorts both, and so a task holds its share of the longer one. Where the table is beyond the limit of broadcasts
+    it is hashed instead, over as many tasks as there are HASHED rows (the session's shuffle partitions, if these are more), and
+    the longer one passes in a stream. Its rows are then counted, so it should be cheap to make.
+    """
+    spark = few.sparkSession
+    if few._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold():
+        return few
+    tasks = few.count() // HASHED + 1
+    dealt = few.repartition(tasks, *keys) if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else few
+    return dealt.hint("shuffle_hash")
+
+
 def unioned(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
     out = None
     for p in parts:

@@ -94,9 +94,9 @@ def oracle_sql() -> dict[str, str]:
 def topk_pool_edges(spark, d):
     """The flagship: the supplier graph, coarsened to the better half by weighted degree."""
     g = tables.suppliers(spark, d)
-    e = cut(g.edges)
+    e = stored(g.edges)
     a = select.topk(ops.degree(g.nodes, e).withColumnRenamed("degree", "score"), 0.5, spread=True)
-    return connect.sparse_connect(e, cut(a), None)
+    return connect.sparse_connect(e, stored(a), None)
 
 
 @query(SUPPLIERS, "SELECT * FROM e")

@@ -242,3 +242,41 @@ def test_an_undirected_graph_is_read_once_and_kept_in_one_direction(spark, score
     assert made.value == len(rows)
     assert [list(map(tuple, sorted(df.collect()))) for df in select.kmis(nodes, e, 1, scorer, kind, spread=True)] == got
     assert len(got[0]) == 37
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 2])
+def test_edges_pass_nodes_in_a_stream_where_these_are_not_broadcast(spark, monkeypatch, rows):
+    """A merge join would sort the edges, of which a task holds a share that grows with them; nodes are hashed, over tasks in proportion."""
+    from pebblegraph.operators import connect
+    from pebblegraph.plans import fixpoint
+
+    monkeypatch.setattr(fixpoint, "HASHED", rows)
+    edges = spark.createDataFrame([(g, a, b, float(a + b)) for g in range(2) for a in range(8) for b in range(8) if a != b], EDGES)
+    assign = spark.createDataFrame([(g, i, i // (2 + g), 1.0) for g in range(2) for i in range(7)], "graph_id long, node_id long, cluster_id long, weight double")
+    want = sorted((g, a // (2 + g), b // (2 + g), float(a + b)) for g in range(2) for a in range(7) for b in range(7) if a != b)
+    assert sorted(map(tuple, connect.relabelled(edges, assign).collect())) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = connect.relabelled(edges, assign)
+        assert "SortMergeJoin" not in (plan := physical(out)) and plan.count("ShuffledHashJoin") == 2
+        assert ("REPARTITION_BY_NUM" in plan) == (rows == 2) and (rows > 2 or "8)" in plan)  # 14 nodes, 2 a task
+        assert sorted(map(tuple, out.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_flagship_sorts_no_edges_and_reads_them_from_columns(spark, tables):
+    from pebblegraph import queries
+
+    want = sorted(map(tuple, queries.topk_pool_edges(spark, tables).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = queries.topk_pool_edges(spark, tables)
+        assert "SortMergeJoin" not in (plan := physical(out)) and "Scan ExistingRDD" not in plan
+        assert sorted(map(tuple, out.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
