@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import ASSIGN, Graph, check, w_or_1
-from ..plans.fixpoint import ranked, running_sums
+from ..plans.fixpoint import hashed, ranked, running_sums, stored
 
 
 def collated_assigns(assigns: list[DataFrame]) -> DataFrame:
@@ -69,14 +69,15 @@ def parents(pairs: DataFrame) -> DataFrame:
 def partition_entropy(edges: DataFrame, assign: DataFrame) -> DataFrame:
     """graph_id, entropy: the structural entropy of the tree of root, clusters and nodes, of a hard assignment.
 
-    The sum over its nodes of -cut / volume * log2(own volume / parent's volume). Edges are undirected, without loops.
+    The sum over its nodes of -cut / volume * log2(own volume / parent's volume). Edges are undirected, without loops. They are
+    read once: all sums are those of one row a node. A node's edges meet last at their src, by which they are summed.
     """
     e = edges.where("src <> dst").select("graph_id", "src", "dst", w_or_1().alias("w"))
-    a = assign.select("graph_id", "node_id", "cluster_id")
-    e = e.join(a.select("graph_id", F.col("node_id").alias("src"), F.col("cluster_id").alias("c")), ["graph_id", "src"]).join(a.select("graph_id", F.col("node_id").alias("dst"), F.col("cluster_id").alias("d")), ["graph_id", "dst"])
-    own = e.groupBy("graph_id", "c", "src").agg(F.sum("w").alias("v"))
-    cluster = e.groupBy("graph_id", "c").agg(F.sum("w").alias("vc"), F.sum(F.when(F.col("c") != F.col("d"), F.col("w")).otherwise(0.0)).alias("g"))
-    total = e.groupBy("graph_id").agg(F.sum("w").alias("vol"))
-    leaves = own.join(cluster, ["graph_id", "c"]).groupBy("graph_id").agg(F.sum(F.col("v") * F.log2(F.col("v") / F.col("vc"))).alias("a"))
+    a = hashed(assign.select("graph_id", "node_id", "cluster_id"), "graph_id", "node_id")
+    e = e.join(a.select("graph_id", F.col("node_id").alias("dst"), F.col("cluster_id").alias("d")), ["graph_id", "dst"]).join(a.select("graph_id", F.col("node_id").alias("src"), F.col("cluster_id").alias("c")), ["graph_id", "src"])
+    own = stored(e.groupBy("graph_id", "c", "src").agg(F.sum("w").alias("v"), F.sum(F.when(F.col("c") != F.col("d"), F.col("w")).otherwise(0.0)).alias("g")))
+    cluster = own.groupBy("graph_id", "c").agg(F.sum("v").alias("vc"), F.sum("g").alias("g"))
+    total = cluster.groupBy("graph_id").agg(F.sum("vc").alias("vol"))
+    leaves = own.drop("g").join(hashed(cluster.drop("g"), "graph_id", "c"), ["graph_id", "c"]).groupBy("graph_id").agg(F.sum(F.col("v") * F.log2(F.col("v") / F.col("vc"))).alias("a"))
     inner = cluster.join(total, "graph_id").groupBy("graph_id").agg(F.sum(F.col("g") * F.log2(F.col("vc") / F.col("vol"))).alias("b"))
     return total.join(leaves, "graph_id").join(inner, "graph_id").select("graph_id", (-(F.col("a") + F.col("b")) / F.col("vol")).alias("entropy"))

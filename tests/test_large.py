@@ -280,3 +280,26 @@ def test_the_flagship_sorts_no_edges_and_reads_them_from_columns(spark, tables):
         assert sorted(map(tuple, out.collect())) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("limit", ["10m", "-1"])
+def test_entropy_of_a_partition_makes_edges_once(spark, limit):
+    from pebblegraph.operators import assignments
+
+    rows = [(g, a, b, float((a * b) % 3 + 1)) for g in range(2) for a in range(9) for b in range(9) if (a + b) % 4 or a == b]
+    e, made = told(spark, rows)
+    assign = spark.createDataFrame([(g, i, i % 3, 1.0) for g in range(2) for i in range(8)], "graph_id long, node_id long, cluster_id long, weight double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        got = {r.graph_id: r.entropy for r in assignments.partition_entropy(e, assign).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert made.value == len(rows)
+    there = [(a, b, w) for g, a, b, w in rows if g == 0 and a != b and max(a, b) < 8]
+    vol, v, vc, cut = sum(w for *_, w in there), [0.0] * 8, [0.0] * 3, [0.0] * 3
+    for a, b, w in there:
+        v[a] += w
+        vc[a % 3] += w
+        cut[a % 3] += w * (a % 3 != b % 3)
+    want = -(sum(v[i] * np.log2(v[i] / vc[i % 3]) for i in range(8)) + sum(cut[c] * np.log2(vc[c] / vol) for c in range(3))) / vol
+    assert got == {0: pytest.approx(want), 1: pytest.approx(want)}
